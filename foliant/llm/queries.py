@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import tokenizer
+from foliant.llm import quality, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    common = quality.common_words(table(spark, sf_dir, "stopwords"))
+    return quality.text_quality(documents, quality.fit(documents, common), common)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("chars > 0 and prose < 0.5").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
