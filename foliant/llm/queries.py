@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import quality, tokenizer
+from foliant.llm import packing, quality, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     common = quality.common_words(table(spark, sf_dir, "stopwords"))
@@ -28,7 +32,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
