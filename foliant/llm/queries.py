@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, quality, tokenizer
+from foliant.llm import packing, partenum, quality, tokenizer
+from foliant.llm.classes import expand, link_counts
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = partenum.near_duplicates(table(spark, sf_dir, "lshfakedata"))
+    return expand(members, links)
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(*partenum.near_duplicates(table(spark, sf_dir, "lshfakedata")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -32,7 +42,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
