@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, partenum, quality, tokenizer
+from foliant.llm import overlap, packing, partenum, quality, tokenizer
 from foliant.llm.classes import expand, link_counts
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = overlap.similar_value_sets(table(spark, sf_dir, "lshfakedata"))
+    return expand(members, links)
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(*overlap.similar_value_sets(table(spark, sf_dir, "lshfakedata")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = partenum.near_duplicates(table(spark, sf_dir, "lshfakedata"))
     return expand(members, links)
@@ -42,7 +51,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
