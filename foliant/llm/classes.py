@@ -38,7 +38,7 @@ def fold(df: DataFrame, content: list[str]) -> tuple[DataFrame, DataFrame]:
     names reach the members by a join on the content key that ships only keys.
     """
     keyed = df.where("id is not null").withColumn("_key", content_key(*content))
-    once = keyed.groupBy("id").agg(F.min_by(F.struct("_key", *content), "_key").alias("r")).select("id", "r.*")
+    once = checkpoint(keyed.groupBy("id").agg(F.min_by(F.struct("_key", *content), "_key").alias("r")).select("id", "r.*"))
     named = once.groupBy("_key").agg(F.min("id").alias("class"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in content))
     members = once.select("id", "_key").join(named.select("_key", "class"), "_key").select("id", "class")
     return members, named.select("class", *content, "n")

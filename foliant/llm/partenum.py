@@ -41,9 +41,11 @@ _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 def shingles(text: Column, words: int = 2) -> Column:
     """Distinct hashes of runs of ``words`` successive words (longest runs of letters and digits, lower case)."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    count = F.size(tokens) - (words - 1)
-    runs = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(tokens, i, words)))
-    return F.when(count > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(tokens, lambda w: F.xxhash64(w))
+    for k in range(1, words):  # zipped, not indexed: an index would find the tokens anew for each element
+        later = F.slice(tokens, k + 1, 1_000_000_000)
+        runs = F.zip_with(runs, later, lambda h, w: F.when(h.isNotNull() & w.isNotNull(), F.xxhash64(h, w)))
+    return F.array_sort(F.array_distinct(F.filter(runs, lambda h: h.isNotNull())))
 
 
 def record_text(title: str = "title", descriptions: str = "descriptions") -> Column:
@@ -107,23 +109,23 @@ class Signer:
         return keys, cost, dropped
 
 
-def parity(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set: bit i is the parity of the features hashed to i."""
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """256 bits of each set, as four numbers: bit i is the parity of the features hashed to i."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    bit = (_mixed(flat, 77) >> np.uint64(57)).astype(np.int64)
-    odd = (np.bincount(owner * 128 + bit, minlength=len(sets) * 128) & 1).astype(np.uint8)
-    words = np.packbits(odd.reshape(-1, 128), axis=1).view(">i8").astype(np.int64).reshape(-1, 2)
-    return words[:, 0], words[:, 1]
+    bit = (_mixed(flat, 77) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(owner * 256 + bit, minlength=len(sets) * 256) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 256), axis=1).view(">i8").astype(np.int64).reshape(-1, 4)
 
 
-SIGNED = "key bigint, class string, size int, p0 bigint, p1 bigint"
+WORDS = ("p0", "p1", "p2", "p3")
+SIGNED = "key bigint, n bigint, size int, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
 
 
-def _rows(keys: list[np.ndarray], at: list[np.ndarray], names: pa.Array, sizes: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: list[np.ndarray], at: list[np.ndarray], names: pa.Array, sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     i = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), names.take(pa.array(i)), pa.array(sizes[i].astype(np.int32)), pa.array(p0[i]), pa.array(p1[i])], names=["key", "class", "size", "p0", "p1"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), names.take(pa.array(i)), pa.array(sizes[i].astype(np.int32)), *(pa.array(words[i, w]) for w in range(4))], names=["key", "n", "size", *WORDS])
 
 
 def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int = 1_000) -> DataFrame:
@@ -141,7 +143,7 @@ def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int
                 size = np.diff(ends).astype(np.int64)
                 if not len(size):
                     continue
-                p0, p1 = parity(every)
+                words = parity(every)
                 keys, at = [], []
                 for number, (low, high) in enumerate(bands(least, ratio, int(size.max() / t) + 1 if probe else int(size.max()))):
                     here = np.flatnonzero((size <= high) & (size >= np.ceil(t * low - 1e-9))) if probe else np.flatnonzero((size >= low) & (size <= high))
@@ -162,7 +164,7 @@ def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int
                     row, rank = np.nonzero(taken)
                     keys.append(sig[row, order[row, rank]].reshape(-1))
                     at.append(np.repeat(here[row], sig.shape[2]))
-                yield _rows(keys, at, names, size, p0, p1)
+                yield _rows(keys, at, names, size, words)
 
     return sets.mapInArrow(run, SIGNED)
 
@@ -176,23 +178,22 @@ def feature_counts(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def similar_sets(classes: DataFrame, threshold: float, least: int, records: int | None = None) -> DataFrame:
+def similar_sets(classes: DataFrame, threshold: float, least: int) -> DataFrame:
     """``(a, b, similarity)`` of classes ``(class, features)`` with a Jaccard similarity of at least ``threshold``, each pair once, a < b."""
-    sets = classes.where(F.size("features") >= least).select("class", "features")
-    signer = Signer(threshold, feature_counts(sets), sets.count() if records is None else records)
-    index = _signed(sets, signer, least, probe=False)
-    probe = _signed(sets, signer, least, probe=True)
-    x, y = probe.alias("x"), index.alias("y")
-    bits = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+    sets = checkpoint(classes.where(F.size("features") >= least).select(F.monotonically_increasing_id().alias("n"), "class", "features"))
+    signer = Signer(threshold, feature_counts(sets), sets.count())
+    numbered = sets.select("n", "features")
+    x, y = _signed(numbered, signer, least, probe=True).alias("x"), _signed(numbered, signer, least, probe=False).alias("y")
+    bits = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WORDS), F.lit(0))
     apart = F.floor((F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
-    ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.class") < F.col("y.class")))
+    ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.n") < F.col("y.n")))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.size") >= F.col("y.size") * F.lit(threshold) - 1e-9) & (bits <= apart))
-    met = met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    left = sets.select(F.col("class").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("class").alias("b"), F.col("features").alias("fb"))
-    both = met.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("fa", "fb")))
-    similarity = F.col("_i") / (F.size("fa") + F.size("fb") - F.col("_i"))
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    met = met.select(F.col("x.n").alias("i"), F.col("y.n").alias("j")).distinct()
+    left = sets.select(F.col("n").alias("i"), F.col("class").alias("ca"), F.col("features").alias("fa"))
+    right = sets.select(F.col("n").alias("j"), F.col("class").alias("cb"), F.col("features").alias("fb"))
+    both = met.join(left, "i").join(right, "j").withColumn("_s", F.size(F.array_intersect("fa", "fb")))
+    similarity = F.col("_s") / (F.size("fa") + F.size("fb") - F.col("_s"))
+    return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "id", title: str = "title", descriptions: str = "descriptions", threshold: float = 0.6, least: int = 20, words: int = 2) -> tuple[DataFrame, DataFrame]:
