@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import overlap, packing, partenum, quality, tokenizer
+from foliant.llm import langid, names, overlap, packing, partenum, quality, tokenizer
 from foliant.llm.classes import expand, link_counts
 from foliant.session import table
 
@@ -32,6 +32,24 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(*partenum.near_duplicates(table(spark, sf_dir, "lshfakedata")))
 
 
+def p4_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variants(table(spark, sf_dir, "lshfakedata"), table(spark, sf_dir, "short_names"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(p4_persons(spark, sf_dir))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("lshfakedata", "language_names", "stopwords", "books_csv"))
+    return langid.record_languages(*tables).select("id", "seg_no", "lang", "words", "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("lshfakedata", "language_names", "stopwords", "books_csv"))
+    return langid.mislabelled(langid.record_languages(*tables))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -51,7 +69,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_languages": p5_languages, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
