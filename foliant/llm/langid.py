@@ -110,7 +110,7 @@ class LanguageModel:
         padded = f" {text} "
         return [m.phrases(padded) * b for m, b in zip(self.machines, self.bits, strict=True)]
 
-    def segments(self, text: str, change: float = 38.0) -> list[tuple[str, int, float]]:
+    def segments(self, text: str, change: float = 60.0) -> list[tuple[str, int, float]]:
         """``(lang, words, confidence)`` of the runs of units in one language."""
         if not self.langs:
             return []
@@ -228,15 +228,23 @@ def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400
     return out
 
 
-def segment_languages(df: DataFrame, samples: dict[str, str], id_col: str = "id", texts: str = "descriptions", least_words: int = 5) -> DataFrame:
-    """``(id, seg_no, lang, words, confidence)``: languages of the elements of an array of texts."""
+SEGMENTS = "seg_no bigint, lang string, words bigint, confidence double, unnamed boolean"
+
+
+def segment_languages(df: DataFrame, samples: dict[str, str], id_col: str = "id", texts: str = "descriptions", named: str = "named", least_words: int = 5) -> DataFrame:
+    """``(id, seg_no, lang, words, confidence, unnamed)``: languages of the elements of an array of texts.
+
+    ``unnamed`` says that the row's array ``named`` lacks one of the languages of its
+    elements. One pass without a shuffle.
+    """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples)
         for batch in batches:
             rows: list[tuple] = []
-            for i, elements in enumerate(batch.column(1).to_pylist()):
+            for i, (elements, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own: list[tuple] = []
                 for number, text in enumerate(elements or []):
                     if text is None or len(text.split()) < least_words:
                         continue
@@ -248,14 +256,14 @@ def segment_languages(df: DataFrame, samples: dict[str, str], id_col: str = "id"
                         entry[2] += words * confidence
                     for lang, (longest, words, weight) in found.items():
                         if longest >= least_words or len(found) == 1:
-                            rows.append((i, number, lang, words, weight / words if words else 0.5))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64())],
-                names=[id_col, "seg_no", "lang", "words", "confidence"],
-            )
+                            own.append((i, number, lang, words, weight / words if words else 0.5))
+                unnamed = not {r[2] for r in own} <= set(names or [])
+                rows += ((*r, unnamed) for r in own)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=[id_col, *(c.split()[0] for c in SEGMENTS.split(", "))])
 
-    return df.select(id_col, texts).mapInArrow(run, f"`{id_col}` {kind}, seg_no bigint, lang string, words bigint, confidence double")
+    return df.select(id_col, texts, named).mapInArrow(run, f"`{id_col}` {kind}, {SEGMENTS}")
 
 
 def once_per_id(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
@@ -264,7 +272,7 @@ def once_per_id(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFr
 
 
 def record_languages(df: DataFrame, language_names: DataFrame, stopwords: DataFrame, books: DataFrame | None = None, least_words: int = 5) -> DataFrame:
-    """``(id, named, seg_no, lang, words, confidence)`` of records; ``named``: codes that the record's labels stand for.
+    """``(id, seg_no, lang, words, confidence, unnamed)`` of records, held against the codes that the record's labels stand for.
 
     Samples come from records and ``books`` that name just one language.
     """
@@ -276,11 +284,9 @@ def record_languages(df: DataFrame, language_names: DataFrame, stopwords: DataFr
         known = _as_map(labels)
         labelled = labelled.unionByName(books.select(F.col("description").alias("text"), F.try_element_at(known, normal_form(F.col("languages"))).alias("lang")))
     samples = training_samples(labelled, stopwords)
-    return segment_languages(records, samples, least_words=least_words).join(records.select("id", "named"), "id")
+    return segment_languages(records, samples, least_words=least_words)
 
 
 def mislabelled(languages: DataFrame) -> DataFrame:
     """``(id, seg_no, lang)`` of records that do not name all languages they are written in."""
-    written = languages.groupBy("id").agg(F.collect_set("lang").alias("_w"), F.any_value("named").alias("_n"))
-    cases = written.where(F.size(F.array_except("_w", "_n")) > 0).select("id")
-    return languages.join(cases, "id", "left_semi").select("id", "seg_no", "lang").distinct()
+    return languages.where("unnamed").select("id", "seg_no", "lang")
