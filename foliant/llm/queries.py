@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, names, overlap, packing, partenum, quality, tokenizer
+from foliant.llm import langid, names, nndescent, overlap, packing, partenum, quality, tokenizer
 from foliant.llm.classes import expand, link_counts
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbours(table(spark, sf_dir, "embedding_csv"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbour_pairs(p1_neighbours(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = overlap.similar_value_sets(table(spark, sf_dir, "lshfakedata"))
     return expand(members, links)
@@ -69,7 +77,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_languages": p5_languages, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_languages": p5_languages, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
