@@ -118,7 +118,7 @@ def _partitions(df: DataFrame, rows: int, rows_each: int = 200_000) -> int:
     return max(2 * parallelism(df.sparkSession), -(-rows // rows_each))
 
 
-def first_pairs(codes: DataFrame, count: int, tables: int = 16, window: int = 3, far: int = BITS, bits: int | None = None) -> DataFrame:
+def first_pairs(codes: DataFrame, count: int, tables: int = 24, window: int = 3, far: int = BITS, bits: int | None = None) -> DataFrame:
     """``(u, v, h)``, u < v: rows near one another in orders sorted by sampled code bits.
 
     Each of ``tables`` orders groups rows by about log2(count) - 1 bits, sorts a group
@@ -229,7 +229,7 @@ def join_neighbours(graph: DataFrame, codes: DataFrame, count: int, k: int, far:
     return rows.mapInArrow(run, PAIR)
 
 
-def build_graph(codes: DataFrame, count: int, k_graph: int = 16, rounds: int = 2, far: int | None = None, tables: int = 16, window: int = 3) -> DataFrame:
+def build_graph(codes: DataFrame, count: int, k_graph: int = 20, rounds: int = 2, far: int | None = None, tables: int = 24, window: int = 3) -> DataFrame:
     """``(u, v, h)``: the neighbour lists after ``rounds`` joins of neighbours of neighbours."""
     far = angle_bits(0.5) if far is None else far
     graph = checkpoint(nearest(first_pairs(codes, count, tables, window, far), k_graph))
