@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
+PLANS = (retrieval,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in PLANS for name, text in plan.ORACLE.items()}
