@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import retrieval
+from foliant.plans import mining, relational, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = (retrieval,)
+PLANS = (retrieval, mining, relational)
 
 
 def queries() -> dict[str, Query]:
