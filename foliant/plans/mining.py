@@ -169,7 +169,7 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.dbscan(table(spark, sf_dir, "embeddings"), eps=0.62)
+    return cluster.dbscan(table(spark, sf_dir, "embeddings"), eps=0.7)
 
 
 def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +317,7 @@ def _lloyd(spherical: bool, rounds: int = 3) -> str:
     return ", ".join(out)
 
 
-_DBSCAN = f"""{_EMB}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND {_COS.format(a='a.v', b='b.v')} >= 0.38),
+_DBSCAN = f"""{_EMB}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND {_COS.format(a='a.v', b='b.v')} >= 0.3),
 core AS (SELECT vec_id AS id FROM e LEFT JOIN (SELECT a, count(*) AS n FROM near GROUP BY 1) ON a = vec_id WHERE coalesce(n, 0) + 1 >= 5),
 edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach AS (SELECT id, id AS low FROM core UNION SELECT edge.b, reach.low FROM reach JOIN edge ON edge.a = reach.id),

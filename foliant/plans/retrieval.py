@@ -9,19 +9,20 @@ from foliant.functions import stemming
 from foliant.functions import text as T
 from foliant.operators import evaluate, index, neardup, rank, snippet, spell
 from foliant.plans import sql as S
-from foliant.session import table
+from foliant.session import checkpoint, table
 from foliant.sources import books as B
 
 Built = tuple[DataFrame, DataFrame, index.Index, DataFrame]
 
 
-def build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = B.FIELDS) -> Built:
-    """Books, corpus, index and query terms."""
+def build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = B.FIELDS, cut: bool = True) -> Built:
+    """Books, corpus, index and query terms. ``cut``: the postings, which ranking reads several times, are written once."""
     stop = B.stop_words(spark, sf_dir)
     books = B.books(spark, sf_dir)
     corpus = B.corpus(books).where(F.col("field").isin(list(fields)))
     n_docs = books.agg(F.countDistinct("bookid").alias("n_docs"))
-    return books, corpus, index.Index(index.postings(corpus, stop), n_docs), rank.query_terms(B.title_queries(books), stop)
+    postings = index.postings(corpus, stop)
+    return books, corpus, index.Index(checkpoint(postings) if cut else postings, n_docs), rank.query_terms(B.title_queries(books), stop)
 
 
 def _ranked(method: str, fields: tuple[str, ...] = ("description",), **smoothing: float):
@@ -59,11 +60,11 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(spark, sf_dir)[2].postings
+    return build(spark, sf_dir, cut=False)[2].postings
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(spark, sf_dir)[2].lengths()
+    return build(spark, sf_dir, cut=False)[2].lengths()
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +84,13 @@ def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books, _, built, _ = build(spark, sf_dir)
+    books, _, built, _ = build(spark, sf_dir, cut=False)
     return index.tiered(built.postings, quality(books))
 
 
 def index_add_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of the books, with all records of the other catalogue added."""
-    _, _, built, _ = build(spark, sf_dir)
+    _, _, built, _ = build(spark, sf_dir, cut=False)
     records = table(spark, sf_dir, "lshfakedata").where("id is not null").groupBy("id").agg(F.max(F.coalesce("title", F.lit(""))).alias("text"))
     added = records.select(F.col("id").alias("doc_id"), F.lit("description").alias("field"), "text")
     return index.add_documents(built.postings, added, B.stop_words(spark, sf_dir))
@@ -97,12 +98,12 @@ def index_add_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_remove_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index without the books that have no description."""
-    books, _, built, _ = build(spark, sf_dir)
+    books, _, built, _ = build(spark, sf_dir, cut=False)
     return index.remove_documents(built.postings, books.where("description is null").select(F.col("bookid").alias("doc_id")))
 
 
 def posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.posting_list(build(spark, sf_dir)[2].postings, "genres", "mystery")
+    return index.posting_list(build(spark, sf_dir, cut=False)[2].postings, "genres", "mystery")
 
 
 def judged(books: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def lsh_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stemming.stem_terms(build(spark, sf_dir)[2].postings)
+    return stemming.stem_terms(build(spark, sf_dir, cut=False)[2].postings)
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.session import table
+from foliant.session import parallelism, table
 
 CSV_SCHEMA = "bookId string, title string, author string, description string, genres string, characters string, languages string, publish_date string, num_pages string, avg_rating string"
 FIELDS = ("description", "genres", "characters")
@@ -51,6 +51,9 @@ def project_books(raw: DataFrame, id_col: str = "bookid") -> DataFrame:
 
 def last_wins(df: DataFrame, id_col: str = "bookid") -> DataFrame:
     """One row for each id: the one loaded last, of those the one with the greatest rating text."""
+    spark = df.sparkSession
+    # one shuffle by id serves the window; its explicit width keeps the text analysis after it spread out
+    df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parallelism(spark)), id_col)
     order = Window.partitionBy(id_col).orderBy(F.desc("loaded_at"), F.desc(F.coalesce("avg_rating", F.lit(""))))
     return df.where(F.col(id_col).isNotNull()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
