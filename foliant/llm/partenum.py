@@ -174,7 +174,7 @@ def feature_counts(sets: DataFrame) -> np.ndarray:
     bucket = F.col("f").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
     rows = sets.select(F.explode("features").alias("f")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).select(F.col("b").cast("int"), "n").toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["b"].to_numpy()] = rows["n"].to_numpy()
+    out[rows["b"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
