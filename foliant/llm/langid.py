@@ -220,10 +220,10 @@ def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400
     for lang, plain in by_lang.items():
         kept, size = [], 0
         for text in plain:
-            if size and size + len(text) > letters:
+            if size and size + len(text) + 1 > letters:
                 break
             kept.append(text[:letters])
-            size += len(text)
+            size += len(text) + 1
         out[lang] = " ".join(kept)
     return out
 
