@@ -337,5 +337,46 @@ def neighbours(df: DataFrame, id_col: str = "bookid", vector_col: str = "descrip
     return nearest_ids(collection, exact_pairs(pairs, collection.vectors, collection.count), k, least)
 
 
+def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, count: int, beam: int = 24, rounds: int = 8, far: int | None = None) -> DataFrame:
+    """``(q, v, h)``: up to ``beam`` near vectors for each query ``(q, c0..)``, q < 0, by greedy search over the graph.
+
+    A query enters the graph at rows near it in the sorted orders of code bits. Each
+    round opens the nearest vectors of every beam that are not yet opened and compares
+    their neighbours; a query is done when its beam holds opened ones only.
+    """
+    far = angle_bits(0.3) if far is None else far
+    both = codes.select("n", *CODE).unionByName(queries.select(F.col("q").alias("n"), *CODE))
+    met = first_pairs(both, count, far=far).where("u < 0 and v >= 0").select(F.col("u").alias("q"), "v", "h").distinct()
+    order = Window.partitionBy("q").orderBy("h", "v")
+    keep = lambda df: df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r")
+    asked = queries.select("q", *(F.col(c).alias(f"q{c}") for c in CODE))
+    best = checkpoint(keep(met.withColumn("opened", F.lit(False))))
+    for _ in range(rounds):
+        fresh = best.where("not opened").select("q", F.col("v").alias("u"))
+        reached = fresh.join(graph.select("u", "v"), "u").select("q", "v").distinct().join(best.select("q", "v"), ["q", "v"], "left_anti")
+        with_codes = reached.join(codes.withColumnRenamed("n", "v").select("v", *CODE), "v").join(asked, "q")
+        h = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in CODE), F.lit(0))
+        compared = with_codes.select("q", "v", h.cast("int").alias("h"), F.lit(False).alias("opened")).where(F.col("h") <= far)
+        best = checkpoint(keep(best.withColumn("opened", F.lit(True)).unionByName(compared)))
+        if best.where("not opened").isEmpty():
+            break
+    return best.select("q", "v", "h")
+
+
+def search_ids(df: DataFrame, is_query: str, id_col: str = "bookid", vector_col: str = "description_emb", dimensions: int = 1_024, k: int = 5, least: float = 0.6, **graph: int) -> DataFrame:
+    """``(id, neighbour, cosine)`` for the rows that the condition ``is_query`` (over ``id``) picks, against all rows, by graph search."""
+    collection = Collection(df, id_col, vector_col, dimensions)
+    lists = build_graph(collection.codes, collection.count, **graph)
+    numbers = collection.members.where(is_query).select("n").distinct()
+    queries = collection.codes.join(numbers, "n", "left_semi").select((-F.col("n") - 1).alias("q"), *CODE)
+    found = search(lists, collection.codes, queries, collection.count)
+    own = (-F.col("q") - 1).alias("n")
+    slack = round(3 * math.sqrt(BITS * 0.25))
+    near = found.where(F.col("h") <= angle_bits(least) + slack).select(own, "v", "h").where("n <> v")
+    pairs = near.select(F.least("n", "v").alias("u"), F.greatest("n", "v").alias("v"), F.col("h")).distinct()
+    exact = exact_pairs(pairs, collection.vectors, collection.count)
+    return nearest_ids(collection, exact, k, least).where(is_query)
+
+
 def neighbour_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("bookid_a"), F.greatest("id", "neighbour").alias("bookid_b")).distinct()
