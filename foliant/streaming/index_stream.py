@@ -29,4 +29,4 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Events by time window and type, with a watermark for late ones."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
