@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ SPACES = r"[ \t\r\n]+"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` found once, however often it is used: as the variable of a lambda it isn't inlined."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip_addresses(text: Column) -> Column:
     """URLs, hosts and mail addresses deleted; case matters."""
     return F.regexp_replace(text, ADDRESS, "")

@@ -17,8 +17,7 @@ STRATEGIES = ("none", "random_oversample", "random_undersample", "median_resampl
 
 def n_grams(text: Column) -> Column:
     """Words of two or more characters and pairs of them, repetitions kept."""
-    words = T.word_tokens(text)
-    return F.concat(words, T.pairs(words))
+    return T.let(T.word_tokens(text), lambda words: F.concat(words, T.pairs(words)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

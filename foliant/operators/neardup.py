@@ -23,7 +23,7 @@ def permutations(n: int) -> list[tuple[int, int]]:
 
 def shingle_sets(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, shingles)``: distinct pairs of successive words; texts of fewer than two words are left out."""
-    sets = texts.select(F.col(id_col).alias("doc_id"), F.array_distinct(T.pairs(T.analyse(F.col(text_col)))).alias("shingles"))
+    sets = texts.select(F.col(id_col).alias("doc_id"), T.let(T.analyse(F.col(text_col)), lambda words: F.array_distinct(T.pairs(words))).alias("shingles"))
     return sets.where(F.size("shingles") > 0)
 
 

@@ -21,16 +21,30 @@ def save_lexicon(lexicon: DataFrame, path: str) -> None:
 def candidates(words: DataFrame, lexicon: DataFrame, k: int = 5) -> DataFrame:
     """``(word, candidate, jaccard, cnt, rank)``: the ``k`` nearest words by Jaccard similarity, ranked anew by similarity times count.
 
-    Only words that share a bigram meet. A word of the lexicon stands for itself and has no rows.
+    Only words that share a bigram can be near. A first join over each word's two
+    rarest bigrams gives ``k`` words and with the last of them a bound; a word at least
+    that near must share one of the rarest bigrams, of which the bound says how many,
+    so that common bigrams are rarely joined. A word of the lexicon has no rows.
     """
+    right = lexicon.select(F.col("word").alias("candidate"), "cnt", T.char_grams(F.col("word")).alias("cg")).withColumn("g", F.explode("cg"))
+    often = right.groupBy("g").agg(F.count("*").alias("f"))
     asked = words.select("word").where("word <> ''").distinct().join(lexicon.select("word"), "word", "left_anti")
-    left = asked.withColumn("g", F.explode(T.char_grams(F.col("word")))).withColumn("n", F.size(T.char_grams(F.col("word"))))
-    right = lexicon.select(F.col("word").alias("candidate"), "cnt", F.col("n_grams").alias("m"), F.explode(T.char_grams(F.col("word"))).alias("g"))
-    shared = left.join(right, "g").groupBy("word", "candidate").agg(F.count("*").alias("s"), F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.any_value("cnt").alias("cnt"))
-    near = shared.withColumn("jaccard", F.col("s") / (F.col("n") + F.col("m") - F.col("s")))
-    first = near.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("jaccard"), "candidate"))).where(F.col("_r") <= k)
+    grams = asked.select("word", F.explode(T.char_grams(F.col("word"))).alias("g")).join(often, "g", "left")
+    ordered = grams.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.col("g").alias("g")))), lambda x: x["g"]).alias("wg"))
+
+    def near(left: DataFrame) -> DataFrame:
+        """Left has ``(word, wg, g)``; the ``k`` nearest that share a ``g``."""
+        shared = F.size(F.array_intersect("wg", "cg"))
+        met = left.join(right, "g").select("word", "candidate", "cnt", (shared / (F.size("wg") + F.size("cg") - shared)).alias("jaccard")).distinct()
+        order = Window.partitionBy("word").orderBy(F.desc("jaccard"), "candidate")
+        return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+
+    bound = near(ordered.select("word", "wg", F.explode(F.slice("wg", 1, 2)).alias("g"))).groupBy("word").agg(F.when(F.count("*") >= k, F.min("jaccard")).otherwise(0.0).alias("t"))
+    n = F.size("wg")
+    first = ordered.join(bound, "word", "left").withColumn("_p", F.least(n, n - F.ceil(n * F.coalesce("t", F.lit(0.0)) - 1e-9) + 1).cast("int"))
+    best = near(first.select("word", "wg", F.explode(F.slice("wg", F.lit(1), F.col("_p"))).alias("g")))
     again = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.round(F.col("jaccard") * F.col("cnt"), 9)), "candidate"))
-    return first.select("word", "candidate", F.round("jaccard", 6).alias("jaccard"), "cnt", again.cast("bigint").alias("rank"))
+    return best.select("word", "candidate", F.round("jaccard", 6).alias("jaccard"), "cnt", again.cast("bigint").alias("rank"))
 
 
 def correct(queries: DataFrame, lexicon: DataFrame, k: int = 5) -> DataFrame:

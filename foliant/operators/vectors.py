@@ -32,6 +32,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
+def softmax(v: Column) -> Column:
+    """Exponentials over their sum, shifted by the largest value."""
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def one_hot(place: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == place, 1.0).otherwise(0.0))
+
+
 def _rows(values: pd.Series) -> np.ndarray:
     m = np.stack(values.to_numpy()).astype(np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import classify, cluster, embed, features, vectors
+from foliant.operators import classify, cluster, embed, features, runs, vectors
 from foliant.plans import sql as S
 from foliant.session import checkpoint, table
 from foliant.sources import books as B
@@ -238,6 +238,39 @@ def pages_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("label is not null").groupBy("label").pivot("lang", ["english", "spanish", "french", "german"]).agg(F.max("pages"))
 
 
+GRID = tuple((method, k) for method in ("euclidean", "spherical") for k in (5, 10, 20))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of two assignments for each method and number of clusters."""
+    rows = table(spark, sf_dir, "embeddings")
+    truth = rows.select(F.col("vec_id").alias("id"), "label")
+    parts = []
+    for method, k in GRID:
+        labelled = checkpoint(cluster.lloyd(rows, k, rounds=2, spherical=method == "spherical").join(truth, "id").select("cluster", "label"))
+        parts.append(cluster.quality(labelled).select(F.lit(method).alias("method"), F.lit(k).cast("bigint").alias("k"), "purity", "nmi", "rand_index"))
+    return runs.stack(parts)
+
+
+def clustering_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir)
+
+
+def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of the highest mutual information of each method."""
+    return runs.best(_grid(spark, sf_dir), ["method"], "nmi", "k").select("method", "k", "nmi")
+
+
+def purity_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest purity by method, numbers of clusters as columns."""
+    named = _grid(spark, sf_dir).withColumn("k", F.concat(F.lit("k"), F.col("k").cast("string")))
+    return runs.highest(named, "method", "k", ["k5", "k10", "k20"], "purity")
+
+
+def frequent_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.frequent_confusions(_knn_pairs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -245,6 +278,7 @@ QUERIES = {
         nb_multinomial, nb_gaussian, knn_classify, confusion_matrix, classification_report, misclassified, model_leaderboard, softmax_regression, mlp_classify,
         kmeans_step, spherical_kmeans_step, kmeans, cluster_quality, dbscan, dbscan_summary, hac, silhouette, pca_2d, cluster_top_terms, cluster_profile,
         nearest_neighbors, odd_one_out, mean_pooling, w2v_corpus, skipgram_pairs, token_histogram, word2vec, pages_by_language,
+        clustering_grid, best_runs, purity_by_k, frequent_confusions,
     )
 }
 
@@ -304,19 +338,35 @@ def _report(name: str, source: str) -> str:
 {name} AS (SELECT label, CASE WHEN said = 0 THEN 0.0 ELSE tp / said END AS precision, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall, CASE WHEN said + support = 0 OR tp = 0 THEN 0.0 ELSE 2 * tp / (said + support) END AS f1, support::BIGINT AS support FROM {name}_c)"""
 
 
-def _lloyd(spherical: bool, rounds: int = 3) -> str:
+def _lloyd(spherical: bool, rounds: int = 3, k: int = 10, x: str = "") -> str:
     unit = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
     v = unit.format(v="v") if spherical else "v"
     cost = "1 - list_dot_product(p.v, c.c)" if spherical else "list_sum(list_transform(list_zip(p.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-    out = [_EMB, f"p AS (SELECT vec_id AS id, {v} AS v FROM e)", "c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, v AS c FROM (SELECT * FROM p ORDER BY id LIMIT 10))"]
+    out = [] if x else [_EMB]
+    out += [f"p{x} AS (SELECT vec_id AS id, {v} AS v FROM e)", f"c{x}0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, v AS c FROM (SELECT * FROM p{x} ORDER BY id LIMIT {k}))"]
     for r in range(rounds):
-        out.append(f"a{r} AS (SELECT p.id, p.v, c.cluster, round({cost}, 9) AS cost FROM p, c{r} c QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round({cost}, 9), c.cluster) = 1)")
-        mean = f"(SELECT cluster, list(m ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY ALL) GROUP BY cluster)"
-        out.append(f"c{r + 1} AS (SELECT cluster, {unit.format(v='c') if spherical else 'c'} AS c FROM {mean})")
-    out.append(f"lloyd AS (SELECT id, cluster::BIGINT AS cluster, round(cost, 6) AS cost FROM a{rounds - 1})")
+        out.append(f"a{x}{r} AS (SELECT p.id, p.v, c.cluster, round({cost}, 9) AS cost FROM p{x} p, c{x}{r} c QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round({cost}, 9), c.cluster) = 1)")
+        mean = f"(SELECT cluster, list(m ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{x}{r}) GROUP BY ALL) GROUP BY cluster)"
+        out.append(f"c{x}{r + 1} AS (SELECT cluster, {unit.format(v='c') if spherical else 'c'} AS c FROM {mean})")
+    out.append(f"lloyd{x} AS (SELECT id, cluster::BIGINT AS cluster, round(cost, 6) AS cost FROM a{x}{rounds - 1})")
     return ", ".join(out)
 
 
+def _quality(source: str) -> str:
+    """Purity, mutual information and Rand index of ``source (cluster, label)``, one row."""
+    return f"""(WITH n AS (SELECT cluster, label, count(*) AS n FROM {source} GROUP BY ALL), a AS (SELECT cluster, sum(n) AS na, max(n) AS top FROM n GROUP BY 1), b AS (SELECT label, sum(n) AS nb FROM n GROUP BY 1), t AS (SELECT sum(n) AS t FROM n)
+SELECT t::BIGINT AS points, round((SELECT sum(top) FROM a) / t, 6) AS purity, round((SELECT sum(n / t * ln(n * t / (na * nb))) FROM n JOIN a USING (cluster) JOIN b USING (label)) / (((SELECT sum(-na / t * ln(na / t)) FROM a) + (SELECT sum(-nb / t * ln(nb / t)) FROM b)) / 2), 6) AS nmi,
+round((t * (t - 1) / 2 - ((SELECT sum(na * na) FROM a) + (SELECT sum(nb * nb) FROM b)) / 2 + (SELECT sum(n * n) FROM n)) / (t * (t - 1) / 2), 6) AS rand_index FROM t)"""
+
+
+def _sql_grid() -> str:
+    ctes, parts = [_EMB], []
+    for i, (method, k) in enumerate(GRID):
+        ctes += [_lloyd(method == "spherical", 2, k, f"g{i}_"), f"x{i} AS (SELECT cluster, label FROM lloydg{i}_ JOIN e ON vec_id = id)"]
+        parts.append(f"SELECT '{method}' AS method, {k}::BIGINT AS k, purity, nmi, rand_index FROM {_quality(f'x{i}')}")
+    return f"{', '.join(ctes)}, grid AS ({' UNION ALL '.join(parts)})"
+
+
 _DBSCAN = f"""{_EMB}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND {_COS.format(a='a.v', b='b.v')} >= 0.3),
 core AS (SELECT vec_id AS id FROM e LEFT JOIN (SELECT a, count(*) AS n FROM near GROUP BY 1) ON a = vec_id WHERE coalesce(n, 0) + 1 >= 5),
 edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
@@ -360,9 +410,11 @@ SELECT 'knn' AS model, (SELECT round(avg((label = predicted)::INT), 6) FROM kp)
 UNION ALL SELECT 'gaussian_nb', (SELECT round(avg((label = predicted)::INT), 6) FROM gp), (SELECT round(avg(f1), 6) FROM gr), (SELECT round(avg((label = predicted)::INT), 6) FROM gp)""",
     "kmeans_step": f"WITH {_lloyd(False)} SELECT * FROM lloyd",
     "spherical_kmeans_step": f"WITH {_lloyd(True)} SELECT * FROM lloyd",
-    "cluster_quality": f"""WITH {_lloyd(False)}, x AS (SELECT cluster, label FROM lloyd JOIN e ON vec_id = id), n AS (SELECT cluster, label, count(*) AS n FROM x GROUP BY ALL), a AS (SELECT cluster, sum(n) AS na, max(n) AS top FROM n GROUP BY 1), b AS (SELECT label, sum(n) AS nb FROM n GROUP BY 1), t AS (SELECT sum(n) AS t FROM n)
-SELECT t::BIGINT AS points, round((SELECT sum(top) FROM a) / t, 6) AS purity, round((SELECT sum(n / t * ln(n * t / (na * nb))) FROM n JOIN a USING (cluster) JOIN b USING (label)) / (((SELECT sum(-na / t * ln(na / t)) FROM a) + (SELECT sum(-nb / t * ln(nb / t)) FROM b)) / 2), 6) AS nmi,
-round((t * (t - 1) / 2 - ((SELECT sum(na * na) FROM a) + (SELECT sum(nb * nb) FROM b)) / 2 + (SELECT sum(n * n) FROM n)) / (t * (t - 1) / 2), 6) AS rand_index FROM t""",
+    "cluster_quality": f"WITH {_lloyd(False)}, x AS (SELECT cluster, label FROM lloyd JOIN e ON vec_id = id) SELECT * FROM {_quality('x')}",
+    "clustering_grid": f"WITH {_sql_grid()} SELECT * FROM grid",
+    "best_runs": f"WITH {_sql_grid()} SELECT method, k, nmi FROM grid QUALIFY row_number() OVER (PARTITION BY method ORDER BY nmi DESC, k) = 1",
+    "purity_by_k": f"WITH {_sql_grid()} SELECT method, {', '.join(f'max(purity) FILTER (k = {k}) AS k{k}' for k in (5, 10, 20))} FROM grid GROUP BY method",
+    "frequent_confusions": f"WITH {_KNN} SELECT label, predicted, count(*)::BIGINT AS n FROM knn JOIN e ON vec_id = id WHERE label <> predicted GROUP BY ALL ORDER BY n DESC, label, predicted LIMIT 10",
     "dbscan": f"WITH RECURSIVE {_DBSCAN} SELECT * FROM db",
     "dbscan_summary": f"WITH RECURSIVE {_DBSCAN}, s AS (SELECT count(DISTINCT cluster) FILTER (cluster >= 0)::BIGINT AS n_clusters, count(*) FILTER (cluster >= 0)::BIGINT AS clustered_points, round(avg((cluster < 0)::INT), 6) AS noise_ratio FROM db) SELECT *, n_clusters >= 2 AND clustered_points >= 2 AND noise_ratio <= 0.5 AS valid FROM s",
     "silhouette": f"""WITH {_EMB}, d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM e a, e b GROUP BY ALL),
