@@ -6,9 +6,10 @@ token; it carries the tokens that precede it. The last token of the encoding of
 every prefix is unique: it is the one that may stand after the tokens before it
 (two neighbouring tokens may stand side by side if merging their bytes gives
 just the two of them). The set of threads, with the tokens that they do not yet
-agree on, is a state of a subsequential transducer. States and transitions are
-made at first use and kept; what all threads agree on is emitted at once, so
-that output lags the input by less than the longest token.
+agree on, is a state of a subsequential transducer. A transition is simulated
+thread by thread when it is first asked for, made and kept when it is asked for
+again; what all threads agree on is emitted at once, so that output lags the input
+by less than the longest token.
 
 Defined results: a null or an empty text has no tokens; strings of special
 tokens are ordinary text; a text is never cut.
@@ -63,6 +64,7 @@ class Transducer:
         self.state_of: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.asked: set[int] = set()
         self.start = self._state((-1, (((), 0),)))
 
     def _state(self, state: tuple) -> int:
@@ -98,35 +100,81 @@ class Transducer:
 
     def _determinise(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         base, threads = self.states[number]
+        child, token_at, side = self.child.get, self.token_at.get, self.side.get
         alive, ended = [], None
         for tokens, node in threads:
-            node = self.child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
             alive.append((tokens, node))
-            if ended is None and (token := self.token_at.get(node)) is not None and self.may_follow(tokens[-1] if tokens else base, token):
-                ended = (*tokens, token)
+            if ended is None:
+                token = token_at(node)
+                if token is not None:
+                    before = tokens[-1] if tokens else base
+                    fits = side((before + 1) << 32 | token)
+                    if fits or fits is None and self.may_follow(before, token):
+                        ended = (*tokens, token)
         if ended is None:
             raise ValueError("the vocabulary lacks a byte")
         alive.append((ended, 0))
-        agreed = os.path.commonprefix([tokens for tokens, _ in alive])
-        if n := len(agreed):
-            base, alive = agreed[-1], [(tokens[n:], node) for tokens, node in alive]
-        out = self.step[number << 8 | byte] = (self._state((base, tuple(alive))), tuple(agreed))
+        agreed = alive[0][0]  # the earliest start has the fewest tokens before it
+        if agreed:
+            agreed = os.path.commonprefix([agreed, *(tokens for tokens, _ in alive[1:])]) if len(alive) > 1 else agreed
+            if n := len(agreed):
+                base, alive = agreed[-1], [(tokens[n:], node) for tokens, node in alive]
+        out = self.step[number << 8 | byte] = (self._state((base, tuple(alive))), agreed)
         return out
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        if len(self.states) > self.states_kept:
+        whole = self.ranks.get(word)
+        if whole is not None and self.may_follow(-1, whole):
+            return (whole,)
+        if len(self.states) > self.states_kept or len(self.asked) > 4 * self.states_kept:
             self._forget()
         ids: list[int] = []
-        state, step = self.start, self.step
-        for byte in word:
-            move = step.get(state << 8 | byte) or self._determinise(state, byte)
+        state, step, asked = self.start, self.step, self.asked
+        for at, byte in enumerate(word):
+            key = state << 8 | byte
+            move = step.get(key)
+            if move is None:
+                if key not in asked:
+                    asked.add(key)
+                    return (*ids, *self._simulate(state, word[at:]))
+                move = self._determinise(state, byte)
             state = move[0]
             if move[1]:
                 ids += move[1]
         return (*ids, *self.states[state][1][-1][0])
 
+    def _simulate(self, number: int, rest: bytes) -> list[int]:
+        """The tokens that follow a state for the rest of a word, thread by thread, without making states."""
+        base, threads = self.states[number]
+        child, token_at, side = self.child.get, self.token_at.get, self.side.get
+        # a path is (path before, token), or (None, tokens) at its root
+        live = [((None, tokens), tokens[-1] if tokens else base, node) for tokens, node in threads]
+        for byte in rest:
+            moved, ended = [], None
+            for path, before, node in live:
+                node = child(node << 8 | byte)
+                if node is None:
+                    continue
+                moved.append((path, before, node))
+                if ended is None:
+                    token = token_at(node)
+                    if token is not None:
+                        fits = side((before + 1) << 32 | token)
+                        if fits or fits is None and self.may_follow(before, token):
+                            ended = (path, token)
+            if ended is None:
+                raise ValueError("the vocabulary lacks a byte")
+            moved.append((ended, ended[1], 0))
+            live = moved
+        path, out = live[-1][0], []
+        while path[0] is not None:
+            out.append(path[1])
+            path = path[0]
+        return [*path[1], *reversed(out)]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
