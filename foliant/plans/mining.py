@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import classify, cluster, embed, features, runs, vectors
 from foliant.plans import sql as S
-from foliant.session import checkpoint, table
+from foliant.session import checkpoint, table, written
 from foliant.sources import books as B
 
 
@@ -21,7 +21,7 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = described(spark, sf_dir)
-    counts = features.term_counts(docs)
+    counts = written(features.term_counts(docs))
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     vocabulary = checkpoint(features.tfidf_vocabulary(counts, n_docs))
     return docs, features.tfidf_vectors(counts, vocabulary), vocabulary, n_docs
@@ -89,9 +89,9 @@ def nb_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = features.stratified_split(described(spark, sf_dir))
     split = checkpoint(split.select("doc_id", "text", "label", "split"))
     train = split.where("split = 'train'")
-    counts = features.term_counts(split)
+    counts = written(features.term_counts(split))
     fitted = checkpoint(features.tfidf_vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi"), train.agg(F.count("*").alias("n_docs"))))
-    v = checkpoint(features.tfidf_vectors(counts, fitted))
+    v = written(features.tfidf_vectors(counts, fitted))
     model, prior = classify.multinomial_nb(v, train.select("doc_id", "label"), fitted)
     test = split.where("split = 'test'").select("doc_id", "label")
     return classify.predict_multinomial(v.join(test.select("doc_id"), "doc_id", "left_semi"), model, prior).join(test, "doc_id").select("doc_id", "label", "predicted")

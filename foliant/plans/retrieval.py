@@ -9,7 +9,7 @@ from foliant.functions import stemming
 from foliant.functions import text as T
 from foliant.operators import evaluate, index, neardup, rank, snippet, spell
 from foliant.plans import sql as S
-from foliant.session import checkpoint, table
+from foliant.session import table, written
 from foliant.sources import books as B
 
 Built = tuple[DataFrame, DataFrame, index.Index, DataFrame]
@@ -19,10 +19,10 @@ def build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = B.FIELDS,
     """Books, corpus, index and query terms. ``cut``: the postings, which ranking reads several times, are written once."""
     stop = B.stop_words(spark, sf_dir)
     books = B.books(spark, sf_dir)
-    corpus = B.corpus(books).where(F.col("field").isin(list(fields)))
+    corpus = B.corpus(books, fields)
     n_docs = books.agg(F.countDistinct("bookid").alias("n_docs"))
     postings = index.postings(corpus, stop)
-    return books, corpus, index.Index(checkpoint(postings) if cut else postings, n_docs), rank.query_terms(B.title_queries(books), stop)
+    return books, corpus, index.Index(written(postings) if cut else postings, n_docs), rank.query_terms(B.title_queries(books), stop)
 
 
 def _ranked(method: str, fields: tuple[str, ...] = ("description",), **smoothing: float):
@@ -103,7 +103,7 @@ def index_remove_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.posting_list(build(spark, sf_dir, cut=False)[2].postings, "genres", "mystery")
+    return index.posting_list(build(spark, sf_dir, ("genres",), cut=False)[2].postings, "genres", "mystery")
 
 
 def judged(books: DataFrame) -> DataFrame:

@@ -62,9 +62,9 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(table(spark, sf_dir, "books_csv"))
 
 
-def corpus(books: DataFrame) -> DataFrame:
-    """``(doc_id, field, text)``: description, genres and characters of each book."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f) if f == "description" else F.translate(f, ",", " "), F.lit("")).alias("text")) for f in FIELDS))
+def corpus(books: DataFrame, used: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(doc_id, field, text)`` of each book; columns of fields that aren't used are not read."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f) if f == "description" else F.translate(f, ",", " "), F.lit("")).alias("text")) for f in used))
     return books.select(F.col("bookid").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.field", "f.text")
 
 
