@@ -146,24 +146,27 @@ def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int
                 words = parity(every)
                 keys, at = [], []
                 for number, (low, high) in enumerate(bands(least, ratio, int(size.max() / t) + 1 if probe else int(size.max()))):
-                    here = np.flatnonzero((size <= high) & (size >= np.ceil(t * low - 1e-9))) if probe else np.flatnonzero((size >= low) & (size <= high))
-                    if not len(here):
-                        continue
-                    sig, cost, dropped = signer.sign([every[i] for i in here], number, high)
-                    if not probe:
-                        keys.append(sig.reshape(-1))
-                        at.append(np.repeat(here, sig.shape[1] * sig.shape[2]))
-                        continue
-                    own = size[here]
-                    partner = np.minimum(high, np.floor(own / t + 1e-9))
-                    partner = np.minimum(partner, np.floor((own - dropped) * (1 + t) / t - own + 1e-9))
-                    bound = difference_bound(own, partner.astype(np.int64), t) - dropped
-                    need = np.where((bound >= 0) & (partner >= low), bound // 2 + 1, 0)
-                    order = np.argsort(cost, axis=1, kind="stable")
-                    taken = np.arange(sig.shape[1])[None, :] < need[:, None]
-                    row, rank = np.nonzero(taken)
-                    keys.append(sig[row, order[row, rank]].reshape(-1))
-                    at.append(np.repeat(here[row], sig.shape[2]))
+                    band = np.flatnonzero((size <= high) & (size >= np.ceil(t * low - 1e-9))) if probe else np.flatnonzero((size >= low) & (size <= high))
+                    step = max(1, 400_000 // signer.groups(high))  # sets of thousands of features go a few at a time
+                    for here in (band[s : s + step] for s in range(0, len(band), step)):
+                        if sum(map(len, keys)) > 1_000_000:
+                            yield _rows(keys, at, names, size, words)
+                            keys, at = [], []
+                        sig, cost, dropped = signer.sign([every[i] for i in here], number, high)
+                        if not probe:
+                            keys.append(sig.reshape(-1))
+                            at.append(np.repeat(here, sig.shape[1] * sig.shape[2]))
+                            continue
+                        own = size[here]
+                        partner = np.minimum(high, np.floor(own / t + 1e-9))
+                        partner = np.minimum(partner, np.floor((own - dropped) * (1 + t) / t - own + 1e-9))
+                        bound = difference_bound(own, partner.astype(np.int64), t) - dropped
+                        need = np.where((bound >= 0) & (partner >= low), bound // 2 + 1, 0)
+                        order = np.argsort(cost, axis=1, kind="stable")
+                        taken = np.arange(sig.shape[1])[None, :] < need[:, None]
+                        row, rank = np.nonzero(taken)
+                        keys.append(sig[row, order[row, rank]].reshape(-1))
+                        at.append(np.repeat(here[row], sig.shape[2]))
                 yield _rows(keys, at, names, size, words)
 
     return sets.mapInArrow(run, SIGNED)
