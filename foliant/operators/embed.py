@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 
-#: Words of the domain that mean nothing here.
+#: Words of the domain that mean nothing here; names of sites come by parameter.
 DOMAIN_WORDS = (
-    "title", "titl", "author", "description", "descript", "genre", "genres", "genr", "place", "places", "goodreads", "goodread", "page", "pages",
+    "title", "titl", "author", "description", "descript", "genre", "genres", "genr", "place", "places", "page", "pages",
     "book", "books", "edition", "editions", "isbn", "cover", "paperback", "hardcover", "kindle", "ebook",
 )
 
@@ -23,10 +23,10 @@ def sentence_tokens(text: Column, stop: list[str]) -> Column:
     return F.filter(T.split_words(plain), lambda w: (F.length(w) > 2) & ~w.isin(stop))
 
 
-def corpus(books: DataFrame, stop: list[str]) -> DataFrame:
+def corpus(books: DataFrame, stop: list[str], sites: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, tokens)`` of title, author, description and genres with literal prefixes, which go again as domain words."""
     text = T.joined_text(*((f"{c} ", F.col(c)) for c in ("title", "author", "description", "genres")))
-    return books.select(F.col("bookid").alias("doc_id"), sentence_tokens(text, sorted({*stop, *DOMAIN_WORDS})).alias("tokens"))
+    return books.select(F.col("bookid").alias("doc_id"), sentence_tokens(text, sorted({*stop, *sites, *DOMAIN_WORDS})).alias("tokens"))
 
 
 def skip_grams(sentences: DataFrame, window: int = 3) -> DataFrame:
