@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import neardup, vectors
 from foliant.plans import sql as S
-from foliant.session import table
+from foliant.session import table, written
 from foliant.sources import books as B
 
 
@@ -96,9 +96,43 @@ def nested_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, (F.col("x.author") == F.col("y.author")) & (F.col("x.bookid") != F.col("y.bookid")) & inside).select(F.col("x.bookid").alias("inner_id"), F.col("y.bookid").alias("outer_id"))
 
 
+def genre_classes(books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(author, g, head)``, one row for each distinct set of genres of an author, and ``(bookid, head)`` of all books with both."""
+    sets = books.where("author is not null and trim(author) <> ''").select("bookid", "author", F.array_sort(F.array_distinct(T.list_items(F.col("genres")))).alias("g")).where("size(g) > 0")
+    classes = sets.groupBy("author", "g").agg(F.min("bookid").alias("head"))
+    return classes, sets.join(classes, ["author", "g"]).select("bookid", "head")
+
+
+def nested_classes(classes: DataFrame, most: int = 256) -> DataFrame:
+    """``(inner_head, outer_head)``: classes of one author of which one's set lies within the other's, exact.
+
+    An inner set meets its author's sets that hold its rarest genre; keys of over
+    ``most`` inner sets are split by hash of the inner set, so that no task gets an author whole.
+    """
+    items = classes.select("author", "head", "g", F.explode("g").alias("genre"))
+    counts = items.groupBy("author", "genre").agg(F.count("*").alias("n"))
+    inner = items.join(counts, ["author", "genre"]).groupBy("author", "head").agg(F.min_by("genre", F.struct("n", "genre")).alias("genre"), F.any_value("g").alias("g"))
+    parts = inner.groupBy("author", "genre").agg(F.ceil(F.count("*") / most).alias("parts"))
+    x = inner.join(parts, ["author", "genre"]).withColumn("part", F.pmod(F.xxhash64("head"), "parts")).alias("x")
+    y = items.join(parts, ["author", "genre"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.author") == F.col("y.author")) & (F.col("x.genre") == F.col("y.genre")) & (F.col("x.part") == F.col("y.part"))
+    inside = (F.size("x.g") < F.size("y.g")) & (F.size(F.array_except("x.g", "y.g")) == 0)
+    return x.join(y, same & inside).select(F.col("x.head").alias("inner_head"), F.col("y.head").alias("outer_head"))
+
+
+def nested_genres_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nested_genres`` for authors of any number of books, as pairs of heads of equal sets; ``nested_genres_members`` names the books of each."""
+    return nested_classes(written(genre_classes(B.books(spark, sf_dir))[0]))
+
+
+def nested_genres_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of each book's class: books of one head have the same author and genres, so each lies within the others."""
+    return genre_classes(B.books(spark, sf_dir))[1]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (books_projection, last_loaded, top_titles, books_of_top_titles, joined_text, parsed_vectors, event_main_type, event_props, event_counts, title_char_grams, shingle_counts, all_titles, new_titles, nested_genres)
+    for f in (books_projection, last_loaded, top_titles, books_of_top_titles, joined_text, parsed_vectors, event_main_type, event_props, event_counts, title_char_grams, shingle_counts, all_titles, new_titles, nested_genres, nested_genres_all, nested_genres_members)
 }
 
 _LIST = "list_filter(list_transform(string_split(coalesce({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
