@@ -89,13 +89,27 @@ def tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_add_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of the books, with all records of the other catalogue added."""
+    """The index of the books, with the titles of the other catalogue's records added as descriptions; ``index_add_records`` adds the records whole."""
     _, _, built, _ = build(spark, sf_dir, cut=False)
     records = table(spark, sf_dir, "lshfakedata").where("id is not null").groupBy("id").agg(F.max(F.coalesce("title", F.lit(""))).alias("text"))
     added = records.select(F.col("id").alias("doc_id"), F.lit("description").alias("field"), "text")
     return index.add_documents(built.postings, added, B.stop_words(spark, sf_dir))
 
 
+def record_corpus(records: DataFrame) -> DataFrame:
+    """``(doc_id, field, text)`` of records with lists in their fields, one row for each id and field; repeated ids keep the greatest text."""
+    texts = (F.max(F.coalesce(F.array_join(c, " "), F.lit(""))).alias(f) for f, c in zip(B.FIELDS, ("descriptions", "genres", "characters")))
+    rows = records.where("id is not null").groupBy("id").agg(*texts)
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in B.FIELDS))
+    return rows.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.field", "f.text")
+
+
+def index_add_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the books, with descriptions, genres and characters of all records of the other catalogue added."""
+    _, _, built, _ = build(spark, sf_dir, cut=False)
+    return index.add_documents(built.postings, record_corpus(table(spark, sf_dir, "lshfakedata")), B.stop_words(spark, sf_dir))
+
+
 def index_remove_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index without the books that have no description."""
     books, _, built, _ = build(spark, sf_dir, cut=False)
@@ -198,7 +212,7 @@ QUERIES = {
     "search_safe_bm25": _search("bm25"), "search_safe_vsm": _search("ltc.lnc"), "search_safe_lm": _search("lm_mixture", lamda=0.5),
     "search_tiered_bm25": _tiered("bm25"), "search_tiered_vsm": _tiered("ltc.lnc"), "search_topk": _search("ltn.lnn"),
     "analyze_documents": analyze_documents, "postings": postings, "doc_lengths": doc_lengths, "corpus_stats": corpus_stats, "term_stats": term_stats, "doc_norms": doc_norms,
-    "tiered_index": tiered_index, "index_add_doc": index_add_doc, "index_remove_doc": index_remove_doc, "posting_list": posting_list,
+    "tiered_index": tiered_index, "index_add_doc": index_add_doc, "index_add_records": index_add_records, "index_remove_doc": index_remove_doc, "posting_list": posting_list,
     "eval_precision_recall": _eval("precision", "recall", "f1"), "eval_map": _eval("map"), "eval_ndcg": _eval("dcg", "ndcg"), "eval_mrr": _eval("mrr"),
     "eval_all": _eval("precision", "recall", "f1", "map", "dcg", "ndcg", "mrr"), "eval_per_query": eval_per_query,
     "spell_candidates": spell_candidates, "spell_check": spell_check, "snippet": snippets, "snippet_missing_terms": snippet_missing_terms,

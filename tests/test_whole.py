@@ -1,6 +1,7 @@
 """Queries that cover all rows where a checked one beside them is bounded by its SQL."""
 
-from foliant.plans import relational
+from foliant.operators import index
+from foliant.plans import relational, retrieval
 
 
 def test_nested_genres_of_an_author_of_many_books(spark):
@@ -17,3 +18,12 @@ def test_nested_genres_of_an_author_of_many_books(spark):
         found = [tuple(r) for r in relational.nested_classes(classes, most).collect()]
         assert len(found) == len(set(found))
         assert {(i, o) for i in head for o in head if i != o and (head[i] == head[o] or (head[i], head[o]) in set(found))} == want
+
+
+def test_added_records_are_in_all_fields(spark):
+    """A record's descriptions, genres and characters get postings, a repeated id counts once."""
+    kind = "id string, title string, descriptions array<string>, genres array<string>, characters array<string>"
+    rows = [("n1", "Unread", ["red fox", None, "red den"], ["Crime"], ["Ann Lee", "Bo"]), ("n1", "Unread", ["red fox", None, "red den"], ["Crime"], ["Ann Lee", "Bo"]), ("n2", "Unread", None, [], None), (None, "x", ["y"], ["y"], ["y"])]
+    old = spark.createDataFrame([("genres", "crime", "b1", 1)], "field string, term string, doc_id string, tf bigint")
+    got = {tuple(r) for r in index.add_documents(old, retrieval.record_corpus(spark.createDataFrame(rows, kind)), []).collect()}
+    assert got == {("genres", "crime", "b1", 1), ("genres", "crime", "n1", 1), ("characters", "ann", "n1", 1), ("characters", "lee", "n1", 1), ("characters", "bo", "n1", 1)} | {("description", w, "n1", n) for w, n in (("red", 2), ("fox", 1), ("den", 1))}
