@@ -197,6 +197,11 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(neardup.shingle_sets(_records(spark, sf_dir)))
 
 
+def near_dup_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, head)`` of all records with shingles: the heads that ``near_dup_pairs`` names, and their exact copies."""
+    return neardup.fold_equal(neardup.shingle_sets(_records(spark, sf_dir)))[1]
+
+
 def lsh_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = neardup.fold_equal(neardup.shingle_sets(_records(spark, sf_dir)))[0]
     return neardup.quality(neardup.near_pairs(sets), sets)
@@ -216,7 +221,7 @@ QUERIES = {
     "eval_precision_recall": _eval("precision", "recall", "f1"), "eval_map": _eval("map"), "eval_ndcg": _eval("dcg", "ndcg"), "eval_mrr": _eval("mrr"),
     "eval_all": _eval("precision", "recall", "f1", "map", "dcg", "ndcg", "mrr"), "eval_per_query": eval_per_query,
     "spell_candidates": spell_candidates, "spell_check": spell_check, "snippet": snippets, "snippet_missing_terms": snippet_missing_terms,
-    "minhash_signature": minhash_signature, "lsh_buckets": lsh_buckets, "near_dup_pairs": near_dup_pairs, "lsh_quality": lsh_quality, "stem_terms": stem_terms,
+    "minhash_signature": minhash_signature, "lsh_buckets": lsh_buckets, "near_dup_pairs": near_dup_pairs, "near_dup_copies": near_dup_copies, "lsh_quality": lsh_quality, "stem_terms": stem_terms,
 }
 
 

@@ -27,3 +27,14 @@ def test_added_records_are_in_all_fields(spark):
     old = spark.createDataFrame([("genres", "crime", "b1", 1)], "field string, term string, doc_id string, tf bigint")
     got = {tuple(r) for r in index.add_documents(old, retrieval.record_corpus(spark.createDataFrame(rows, kind)), []).collect()}
     assert got == {("genres", "crime", "b1", 1), ("genres", "crime", "n1", 1), ("characters", "ann", "n1", 1), ("characters", "lee", "n1", 1), ("characters", "bo", "n1", 1)} | {("description", w, "n1", n) for w, n in (("red", 2), ("fox", 1), ("den", 1))}
+
+
+def test_copies_can_be_found_beside_the_pairs_of_heads(spark, tmp_path):
+    """Copies of a record that has neighbours, and of one that has none, are named with their head."""
+    common = " ".join(f"w{i}" for i in range(60))
+    texts = {"a": common, "b": common + " x", "c": common, "d": "lone red fox", "e": "lone red fox", "f": "one", "g": "other words"}
+    spark.createDataFrame([(i, [t]) for i, t in texts.items()], "id string, descriptions array<string>").write.parquet(f"{tmp_path}/lshfakedata.parquet")
+    pairs = {(r.doc_a, r.doc_b) for r in retrieval.near_dup_pairs(spark, str(tmp_path)).collect()}
+    assert pairs == {("a", "b")}
+    head = {r.doc_id: r["head"] for r in retrieval.QUERIES["near_dup_copies"](spark, str(tmp_path)).collect()}
+    assert head == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "d", "g": "g"}
