@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import vectors as V
-from foliant.session import checkpoint
+from foliant.session import checkpoint, parallelism
 
 
 def _points(data: DataFrame, id_col: str, vector: str, spherical: bool) -> DataFrame:
@@ -120,19 +120,37 @@ def merge_clusters(distance: np.ndarray, k: int, linkage: str) -> tuple[np.ndarr
     return np.unique(member, return_inverse=True)[1], merges
 
 
-def hac(data: DataFrame, k: int = 7, linkage: str = "average", sample: int = 250, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(id, cluster)`` of a bounded sample, the ``sample`` rows of the lowest hashes: the method is sequential and quadratic."""
-    kind = dict(data.dtypes)[id_col]
-    rows = data.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.xxhash64(id_col).alias("h")).orderBy("h", "id").limit(sample)
+def linkage_labels(points: np.ndarray, fitted: np.ndarray, labels: np.ndarray, linkage: str) -> np.ndarray:
+    """The cluster of the smallest cosine distance by ``linkage`` for each row; all rows at length 1; of equal distances the first."""
+    d = np.clip(1 - points @ fitted.T, 0, 2)
+    to = {"single": np.min, "complete": np.max, "average": np.mean}[linkage]
+    return np.argmin(np.stack([to(d[:, labels == c], axis=1) for c in range(labels.max() + 1)], axis=1), axis=1)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        m = np.stack(pdf["v"].to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        labels, _ = merge_clusters(np.clip(1 - m @ m.T, 0, 2), min(k, len(m)), linkage)
-        return pd.DataFrame({"id": pdf["id"], "cluster": labels.astype(np.int64)})
+def hac(data: DataFrame, k: int = 7, linkage: str = "average", sample: int = 250, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``(id, cluster)`` of all rows.
 
-    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"id {kind}, cluster bigint")
+    The method is sequential and quadratic, so the ``sample`` rows of the lowest
+    hashes are merged; every other row goes to the nearest of their clusters by the
+    same linkage, row by row. Up to ``sample`` rows the result is that of the method itself.
+    """
+    kind = dict(data.dtypes)[id_col]
+    rows = data.select(F.col(id_col).alias("id"), V.doubles(F.col(vector)).alias("v"))
+    unit = lambda v: (m := np.stack(v.to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    drawn = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).toPandas().sort_values("id")
+    if drawn.empty:
+        return rows.select("id", F.lit(0).cast("bigint").alias("cluster"))
+    fitted = unit(drawn["v"])
+    labels, _ = merge_clusters(np.clip(1 - fitted @ fitted.T, 0, 2), min(k, len(fitted)), linkage)
+    merged = dict(zip(drawn["id"], labels))
+
+    def run(parts):
+        for pdf in parts:
+            if len(pdf):
+                near = linkage_labels(unit(pdf["v"]), fitted, labels, linkage)
+                yield pd.DataFrame({"id": pdf["id"], "cluster": np.array([merged.get(i, c) for i, c in zip(pdf["id"], near)], dtype=np.int64)})
+
+    return rows.repartition(parallelism(data.sparkSession)).mapInPandas(run, f"id {kind}, cluster bigint")
 
 
 def contingency(labelled: DataFrame) -> DataFrame:

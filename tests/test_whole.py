@@ -1,6 +1,9 @@
 """Queries that cover all rows where a checked one beside them is bounded by its SQL."""
 
-from foliant.operators import index
+import numpy as np
+import pytest
+
+from foliant.operators import cluster, index
 from foliant.plans import relational, retrieval
 
 
@@ -38,3 +41,21 @@ def test_copies_can_be_found_beside_the_pairs_of_heads(spark, tmp_path):
     assert pairs == {("a", "b")}
     head = {r.doc_id: r["head"] for r in retrieval.QUERIES["near_dup_copies"](spark, str(tmp_path)).collect()}
     assert head == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "d", "g": "g"}
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average"])
+def test_hierarchical_clusters_of_all_rows(spark, linkage):
+    """Rows outside the sample get the cluster of their group; three well separated groups of 40."""
+    rng = np.random.default_rng(1)
+    rows = [(g * 40 + i, (np.eye(3)[g] + rng.normal(0, 0.05, 3)).tolist()) for g in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.id: r.cluster for r in cluster.hac(df, 3, linkage, sample=20).collect()}
+    assert set(got) == set(range(120))
+    assert [len({got[g * 40 + i] for i in range(40)}) for g in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+
+
+def test_linkage_to_a_cluster():
+    """Distances by hand: the nearest member, the farthest one and the mean choose differently."""
+    turned = lambda *degrees: np.array([[np.cos(np.radians(a)), np.sin(np.radians(a))] for a in degrees])
+    fitted, labels = turned(5, 120, 50, 60), np.array([0, 0, 1, 1])
+    assert [cluster.linkage_labels(turned(0), fitted, labels, x)[0] for x in ("single", "complete", "average")] == [0, 1, 1]
