@@ -232,10 +232,28 @@ def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.word2vec(embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir)))
 
 
+def _longest(books: DataFrame) -> DataFrame:
+    """``(label, lang, pages)`` of the books that have a class."""
+    rows = books.select(features.main_genre(F.col("genres")).alias("label"), F.lower(F.trim("languages")).alias("lang"), T.guarded_int(F.col("num_pages")).alias("pages"))
+    return rows.where("label is not null")
+
+
 def pages_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest book by class and language, languages as columns."""
-    rows = B.books(spark, sf_dir).select(features.main_genre(F.col("genres")).alias("label"), F.lower(F.trim("languages")).alias("lang"), T.guarded_int(F.col("num_pages")).alias("pages"))
-    return rows.where("label is not null").groupBy("label").pivot("lang", ["english", "spanish", "french", "german"]).agg(F.max("pages"))
+    """Longest book by class and language, the four most frequent languages as columns; ``pages_by_all_languages`` has all."""
+    return _longest(B.books(spark, sf_dir)).groupBy("label").pivot("lang", ["english", "spanish", "french", "german"]).agg(F.max("pages"))
+
+
+LANGUAGES = ("english", "spanish", "french", "german", "portuguese", "italian", "dutch", "russian")
+
+
+def pages_of_languages(books: DataFrame) -> DataFrame:
+    """Longest book by class and language: languages, ``other`` for any further one and ``none`` for null or blank cells as columns."""
+    column = F.when(F.coalesce("lang", F.lit("")) == "", "none").when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
+    return _longest(books).withColumn("lang", column).groupBy("label").pivot("lang", [*LANGUAGES, "other", "none"]).agg(F.max("pages"))
+
+
+def pages_by_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of_languages(B.books(spark, sf_dir))
 
 
 GRID = tuple((method, k) for method in ("euclidean", "spherical") for k in (5, 10, 20))
@@ -277,7 +295,7 @@ QUERIES = {
         tfidf_vocab, tfidf_vectors, tfidf_top_variance, standard_scale, main_category, label_encode, eligible_classes, class_shares, stratified_split, random_split, split_counts, resample_counts,
         nb_multinomial, nb_gaussian, knn_classify, confusion_matrix, classification_report, misclassified, model_leaderboard, softmax_regression, mlp_classify,
         kmeans_step, spherical_kmeans_step, kmeans, cluster_quality, dbscan, dbscan_summary, hac, silhouette, pca_2d, cluster_top_terms, cluster_profile,
-        nearest_neighbors, odd_one_out, mean_pooling, w2v_corpus, skipgram_pairs, token_histogram, word2vec, pages_by_language,
+        nearest_neighbors, odd_one_out, mean_pooling, w2v_corpus, skipgram_pairs, token_histogram, word2vec, pages_by_language, pages_by_all_languages,
         clustering_grid, best_runs, purity_by_k, frequent_confusions,
     )
 }

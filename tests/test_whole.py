@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from foliant.operators import cluster, index
-from foliant.plans import relational, retrieval
+from foliant.plans import mining, relational, retrieval
 
 
 def test_nested_genres_of_an_author_of_many_books(spark):
@@ -59,3 +59,10 @@ def test_linkage_to_a_cluster():
     turned = lambda *degrees: np.array([[np.cos(np.radians(a)), np.sin(np.radians(a))] for a in degrees])
     fitted, labels = turned(5, 120, 50, 60), np.array([0, 0, 1, 1])
     assert [cluster.linkage_labels(turned(0), fitted, labels, x)[0] for x in ("single", "complete", "average")] == [0, 1, 1]
+
+
+def test_pages_of_every_language(spark):
+    """Books in languages beyond the first four, in unknown ones and in none are in a column."""
+    rows = [("Fantasy", " Russian ", "7"), ("Fantasy", "english", "3"), ("Fantasy", "english", "5"), ("Fantasy", "klingon", "9"), ("Fantasy", "Welsh", "2"), ("Horror", None, "4"), ("Horror", " ", "6"), ("Horror", "dutch", "x"), (None, "dutch", "8")]
+    got = {r.label: {k: v for k, v in r.asDict().items() if v is not None and k != "label"} for r in mining.pages_of_languages(spark.createDataFrame(rows, "genres string, languages string, num_pages string")).collect()}
+    assert got == {"Fantasy": {"russian": 7, "english": 5, "other": 9}, "Horror": {"none": 6, "dutch": 0}}
