@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Settings that the engine wants where the caller has not chosen otherwise.
 DEFAULTS = {
@@ -75,3 +75,12 @@ def written(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions to spread CPU-bound work over."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def merging(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, whatever the planner takes the sizes for.
+
+    It sizes the rows that a Python function or ``explode`` makes by their input, which
+    can be a hundred times too low: a side that grows with the data would be broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
