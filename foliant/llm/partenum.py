@@ -1,18 +1,23 @@
 """Near-duplicate texts by PartEnum signatures over sets of word pairs.
 
-Two sets of sizes a and b with a Jaccard similarity of at least t differ in at
-most k = (1 - t) / (1 + t) * (a + b) features. Sets are put into narrow bands of
-size. For each band the domain of features is partitioned by a hash into groups,
-and each group into ``PARTS`` parts. Among any k // 2 + 1 groups, one holds at most
-one difference, and of its parts all but one are equal: so each group gives one
-signature for each subset that leaves out one part, and similar sets share one.
-
-A set is indexed under all groups of its own band. It probes, in its own and the
-larger bands, only as many groups as the bound asks for, those with the rarest
-features: any choice will do. Feature counts come from a sketch of fixed size that
-never counts too low; features of which it is sure that one record has them leave
-the domain and shorten the bound. Matches are first held against a parity bitmap
-(its Hamming distance is never more than the sets'), then compared exactly.
+Two sets of sizes a <= b with a Jaccard similarity of at least t share at least
+t / (1 + t) * (a + b) features; so the smaller has at most d of its own, and the
+larger at most e. Sets are put into narrow bands of size, and for each band a hash
+partitions the domain of features into groups. Of the groups, at most d hold a
+feature of the smaller set only and at most e // 2 two or more of the larger only.
+Among any d + e // 2 + 1 groups there is one in which the larger set has all
+features of the smaller and at most one more.
+
+So a set is indexed in its own band under every group: under the subset of all its
+features there, and under each subset that leaves out one. It probes, in its own
+and the larger bands, under the subset of all its features, and only in as many
+groups as the bound asks for, those with the rarest features (any choice will do;
+there are ``EXTRA`` groups to choose from). Feature counts come from a sketch of
+fixed size that never counts too low; features of which it is sure that one record
+has them leave the domain and shorten the bound. Matches are first held against a
+parity bitmap (its Hamming distance is never more than the sets'), then compared
+exactly. All joins are sort-merge joins: sizes of signature tables are guessed far
+too low by the planner, and they must never be broadcast.
 
 Defined results: null titles and descriptions are empty, null elements count for
 nothing; sets below ``least`` have no pairs; repeated ids count once; an empty
@@ -22,7 +27,6 @@ table gives no rows. The result is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.classes import fold, spread
-from foliant.session import checkpoint
+from foliant.session import checkpoint, merging
 
-PARTS = 4
-SUBSETS = tuple(combinations(range(PARTS), PARTS - 1))
+EXTRA = 10
 SKETCH_BITS = 20
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -45,7 +48,7 @@ def shingles(text: Column, words: int = 2) -> Column:
     for k in range(1, words):  # zipped, not indexed: an index would find the tokens anew for each element
         later = F.slice(tokens, k + 1, 1_000_000_000)
         runs = F.zip_with(runs, later, lambda h, w: F.when(h.isNotNull() & w.isNotNull(), F.xxhash64(h, w)))
-    return F.array_sort(F.array_distinct(F.filter(runs, lambda h: h.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(runs, lambda h: h.isNotNull())))
 
 
 def record_text(title: str = "title", descriptions: str = "descriptions") -> Column:
@@ -77,36 +80,55 @@ def difference_bound(a: np.ndarray | int, b: np.ndarray | int, threshold: float)
 class Signer:
     """Signatures of sets under the scheme of a band."""
 
-    def __init__(self, threshold: float, counts: np.ndarray | None, records: int, ratio: float = 1.2):
+    def __init__(self, threshold: float, counts: np.ndarray | None, records: int, ratio: float = 1.35):
         self.threshold, self.counts, self.records, self.ratio = threshold, counts, max(1, records), ratio
 
+    def need(self, own: np.ndarray, low: int, high: int, dropped: np.ndarray | int = 0) -> np.ndarray:
+        """Groups that sets of sizes ``own`` must probe to meet all similar ones that are as large or larger and in the band; 0 where there can be none."""
+        share = self.threshold / (1 + self.threshold)
+        own = np.asarray(own, float)
+        first, last = np.maximum(low, own), np.minimum(high, np.floor(own / self.threshold + 1e-9))
+
+        def bad(b: np.ndarray) -> np.ndarray:
+            return own - share * (own + b) - dropped + (b - share * (own + b)) / 2
+
+        possible = (last >= first) & (own - share * (own + first) - dropped >= -1e-9)
+        # linear in the partner's size: greatest at an end
+        return np.where(possible, np.floor(np.maximum(0, np.maximum(bad(first), bad(last))) + 1e-9) + 1, 0).astype(np.int64)
+
     def groups(self, high: int) -> int:
-        return int(difference_bound(high, high, self.threshold)) // 2 + 3
+        return int(self.need(np.array([high]), high, high)[0]) + EXTRA
 
-    def _features(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    def sign(self, sets: list[np.ndarray], low: int, high: int, number: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the sets and the set that each belongs to."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         count = self.counts[flat & ((1 << SKETCH_BITS) - 1)] if self.counts is not None else np.full(len(flat), 2)
-        return owner, flat, count
-
-    def sign(self, sets: list[np.ndarray], band: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Signatures (set x group x subset), costs (set x group), and features dropped as unique (set)."""
-        owner, flat, count = self._features(sets)
         alone = count <= 1
         dropped = np.bincount(owner[alone], minlength=len(sets))
         owner, flat, count = owner[~alone], flat[~alone], count[~alone]
         n, g = len(sets), self.groups(high)
-        h = _mixed(flat, band * 7919 + 13)
-        cell = (owner * g + (h % np.uint64(g)).astype(np.int64)) * PARTS + ((h >> np.uint64(24)) % np.uint64(PARTS)).astype(np.int64)
-        total = np.zeros(n * g * PARTS, np.uint64)
-        np.add.at(total, cell, _mixed(flat, 1))
-        rarest = np.full(n * g * PARTS, self.records, np.int64)
-        np.minimum.at(rarest, cell, count.astype(np.int64))
-        total, rarest = total.reshape(n, g, PARTS), rarest.reshape(n, g, PARTS)
-        place = _mixed(np.arange(g * len(SUBSETS)), band + 1).reshape(g, len(SUBSETS))
-        keys = np.stack([_mixed(sum(_mixed(total[:, :, p], 101 + p) for p in subset), s) for s, subset in enumerate(SUBSETS)], 2) ^ place
-        cost = sum(rarest[:, :, subset].min(2) for subset in SUBSETS)
-        return keys, cost, dropped
+        cell = owner * g + (_mixed(flat, number * 7919 + 13) % np.uint64(g)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell, count, weight = cell[order], count[order], _mixed(flat[order], 1)
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        total = np.zeros(n * g, np.uint64)
+        place = np.tile(_mixed(np.arange(g), number + 1), n)
+        if len(start):
+            total[cell[start]] = np.add.reduceat(weight, start)
+        whole = total + place
+        if not probe:
+            lacking = whole[cell] - weight
+            return np.concatenate([_mixed(whole, 5), _mixed(lacking, 9)]), np.concatenate([np.repeat(np.arange(n), g), cell // g])
+        cost = np.full(n * g, 2 * self.records, np.int64)
+        if len(start):
+            cost[cell[start]] = np.minimum.reduceat(count, start)
+        need = self.need(sizes, low, high, dropped)
+        rank = np.argsort(cost.reshape(n, g), axis=1, kind="stable")
+        row, at = np.nonzero(np.arange(g)[None, :] < need[:, None])
+        taken = whole.reshape(n, g)[row, rank[row, at]]
+        return np.concatenate([_mixed(taken, 5), _mixed(taken, 9)]), np.concatenate([row, row])
 
 
 def parity(sets: list[np.ndarray]) -> np.ndarray:
@@ -125,11 +147,13 @@ SIGNED = "key bigint, n bigint, size int, p0 bigint, p1 bigint, p2 bigint, p3 bi
 def _rows(keys: list[np.ndarray], at: list[np.ndarray], names: pa.Array, sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     i = np.concatenate(at) if at else np.zeros(0, np.int64)
+    order = np.argsort(i, kind="stable")  # rows of one set stand together, so that what they share compresses
+    key, i = key[order], i[order]
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), names.take(pa.array(i)), pa.array(sizes[i].astype(np.int32)), *(pa.array(words[i, w]) for w in range(4))], names=["key", "n", "size", *WORDS])
 
 
 def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int = 1_000) -> DataFrame:
-    t, ratio = signer.threshold, signer.ratio
+    t = signer.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,28 +169,16 @@ def _signed(sets: DataFrame, signer: Signer, least: int, probe: bool, chunk: int
                     continue
                 words = parity(every)
                 keys, at = [], []
-                for number, (low, high) in enumerate(bands(least, ratio, int(size.max() / t) + 1 if probe else int(size.max()))):
+                for number, (low, high) in enumerate(bands(least, signer.ratio, int(size.max() / t) + 1 if probe else int(size.max()))):
                     band = np.flatnonzero((size <= high) & (size >= np.ceil(t * low - 1e-9))) if probe else np.flatnonzero((size >= low) & (size <= high))
                     step = max(1, 400_000 // signer.groups(high))  # sets of thousands of features go a few at a time
                     for here in (band[s : s + step] for s in range(0, len(band), step)):
                         if sum(map(len, keys)) > 1_000_000:
                             yield _rows(keys, at, names, size, words)
                             keys, at = [], []
-                        sig, cost, dropped = signer.sign([every[i] for i in here], number, high)
-                        if not probe:
-                            keys.append(sig.reshape(-1))
-                            at.append(np.repeat(here, sig.shape[1] * sig.shape[2]))
-                            continue
-                        own = size[here]
-                        partner = np.minimum(high, np.floor(own / t + 1e-9))
-                        partner = np.minimum(partner, np.floor((own - dropped) * (1 + t) / t - own + 1e-9))
-                        bound = difference_bound(own, partner.astype(np.int64), t) - dropped
-                        need = np.where((bound >= 0) & (partner >= low), bound // 2 + 1, 0)
-                        order = np.argsort(cost, axis=1, kind="stable")
-                        taken = np.arange(sig.shape[1])[None, :] < need[:, None]
-                        row, rank = np.nonzero(taken)
-                        keys.append(sig[row, order[row, rank]].reshape(-1))
-                        at.append(np.repeat(here[row], sig.shape[2]))
+                        key, of = signer.sign([every[i] for i in here], low, high, number, probe)
+                        keys.append(key)
+                        at.append(here[of])
                 yield _rows(keys, at, names, size, words)
 
     return sets.mapInArrow(run, SIGNED)
@@ -190,11 +202,11 @@ def similar_sets(classes: DataFrame, threshold: float, least: int) -> DataFrame:
     bits = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WORDS), F.lit(0))
     apart = F.floor((F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
     ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.n") < F.col("y.n")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.size") >= F.col("y.size") * F.lit(threshold) - 1e-9) & (bits <= apart))
+    met = merging(x, y, (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.size") >= F.col("y.size") * F.lit(threshold) - 1e-9) & (bits <= apart))
     met = met.select(F.col("x.n").alias("i"), F.col("y.n").alias("j")).distinct()
     left = sets.select(F.col("n").alias("i"), F.col("class").alias("ca"), F.col("features").alias("fa"))
     right = sets.select(F.col("n").alias("j"), F.col("class").alias("cb"), F.col("features").alias("fb"))
-    both = met.join(left, "i").join(right, "j").withColumn("_s", F.size(F.array_intersect("fa", "fb")))
+    both = merging(merging(met, left, "i"), right, "j").withColumn("_s", F.size(F.array_intersect("fa", "fb")))
     similarity = F.col("_s") / (F.size("fa") + F.size("fb") - F.col("_s"))
     return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 

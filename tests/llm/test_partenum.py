@@ -94,12 +94,39 @@ def test_similar_sets_share_a_signature_under_any_choice_of_groups(data):
         return
     signer = pe.Signer(0.6, None, 10)
     small, large = sorted((np.array(sorted(a)), np.array(sorted(b))), key=len)
-    for number, (low, high) in enumerate(pe.bands(20, 1.2, len(large))):
+    met = 0
+    for number, (low, high) in enumerate(pe.bands(20, signer.ratio, len(large))):
         if low <= len(large) <= high:
-            keys, _, _ = signer.sign([small, large], number, high)
-            need = int(pe.difference_bound(len(small), len(large), 0.6)) // 2 + 1
-            same = (keys[0] == keys[1]).any(1)
-            assert (~same).sum() < need
+            met += 1
+            need, groups = int(signer.need(np.array([len(small)]), low, high)[0]), signer.groups(high)
+            assert 0 < need <= groups - pe.EXTRA
+            every = pe.Signer(0.6, None, 10)
+            every.need = lambda own, *_: np.full(len(own), groups)  # probe all groups, to see in how many they meet
+            index, probe = set(every.sign([large], low, high, number, False)[0].tolist()), every.sign([small], low, high, number, True)[0]
+            assert sum(k in index for k in probe.tolist()) > groups - need
+    assert met == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(20, 300), st.integers(0, 60), st.integers(0, 200), st.integers(0, 30))
+def test_bound_on_groups_that_differ(small, own, other, dropped):
+    """Whatever the sizes, ``need`` exceeds the groups that the differences can spoil."""
+    shared = small - own
+    large = shared + other
+    if shared < 0 or large < small or shared < 0.6 * (small + other) or dropped > own:
+        return
+    signer = pe.Signer(0.6, None, 10)
+    for low, high in pe.bands(20, signer.ratio, large):
+        if low <= large <= high:
+            assert int(signer.need(np.array([small]), low, high, np.array([dropped]))[0]) > own - dropped + other // 2
+
+
+def test_no_join_broadcasts_a_table_that_grows(spark):
+    """The planner takes signatures and exploded keys for small; no plan may rely on that."""
+    rows = [(f"r{i}", None, [" ".join(f"w{i}x{j % 40}" for j in range(30))], None, None, None) for i in range(50)]
+    members, links = pe.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    for df in (links, expand(members, links), link_counts(members, links)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 @settings(max_examples=50, deadline=None)
