@@ -5,17 +5,26 @@ A name is read as titles, given name, middle names and surname in either order
 is brought to its full form by the table of short names, slips of one letter
 included; an initial stands for every full given name that begins with it.
 
-Blocking: every suffix of a surname of at least ``shortest`` letters is a key, and
-every prefix as a suffix of the surname read backwards, so that a slip anywhere
-leaves some keys equal. A key that is common is first refined by the given name's
-initial, then by the surname's first letter and its last (of a backward key: also
-the length, roughly); only what is still common is left out.
-
-Comparison: surnames match if they are equal, or if the ratio of their longest
-common subsequence is high, they are one slip apart and one of them is found with
-a single spelling (persons proper tend to come in several); given names match by
-full form or initial. Spellings that match are joined to persons through names
-with a full given name; spellings with an initial join the persons they match.
+Blocking is over units, the distinct (surname, initial) of a field, so that many
+spellings and given names of one surname cost no more than its initials. Every suffix
+of a surname of at least ``shortest`` letters is a key, and every prefix as a suffix of
+the surname read backwards, so that a slip anywhere leaves some keys equal. Two
+surnames are taken at their longest common suffix only. A suffix that is common is
+refined by the initial; a unit without one (a title and a surname) goes along with
+every initial that occurs under the suffix. What is still common after that is
+discarded as a suffix: its units meet under their surname with a letter left out, and
+under its consonants, which all that can match share; so do those of surnames too
+short to keep a suffix beside a slip.
+
+Comparison: the longest common subsequence decides between surnames. It must have 0.8
+of their letters, and lack at most one letter of the longer surname, or else hold all
+consonants of both (surnames of two persons often share more than 0.8 by chance). The
+ratio is 1 for equal surnames, which meet under the whole surname as a suffix.
+Given names match by full form (one slip where one of them is not in the table), or
+by initial. Spellings with a full given name are joined to persons over links between
+them; spellings without join the persons of the same surname, or where it has none,
+those of similar ones; a title with a surname joins the persons who have that title,
+or the only one.
 
 Defined results: null and blank values have no row; names of one word and
 collective names match only themselves; the smaller spelling stands first.
@@ -26,14 +35,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.classes import normal_form, spread
-from foliant.session import checkpoint
+from foliant.session import checkpoint, merging, written
 
 #: Words around a name that are no part of it, and words that belong to a surname.
 TITLES = frozenset("by dr doctor prof professor capt captain sgt sergeant rev reverend lt lieutenant col colonel insp inspector mr mrs ms miss sir lady lord dame phd ph.d md jr sr author ed trans editor translator".split())
@@ -120,34 +128,36 @@ def parse(name: str, given_names: GivenNames) -> tuple[str, str, str, str, str]
     return surname, given, initial, middle, title
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Whether a letter left out, added, changed, or two swapped leads from ``a`` to ``b``."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = state = (1 << len(a)) - 1
+    for c in b:
+        met = state & where.get(c, 0)
+        state = (state + met | state - met) & full
+    return len(a) - state.bit_count()
 
 
-@lru_cache(maxsize=200_000)
 def lcs_ratio(a: str, b: str) -> float:
     """Twice the length of the longest common subsequence over the sum of lengths."""
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_letters(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-FORM = "field string, name string, surname string, given string, initial string, middle string, title string, known boolean"
+def consonants(word: str) -> str:
+    """What spellings of one sound share: no vowels, no ``ij``, doubled letters once."""
+    word = word.replace("ij", "i")
+    return "".join(c for i, c in enumerate(word) if c not in "aeiouy" and c != word[i - 1 : i])
+
+
+def alike(a: str, b: str, ratio: float = 0.8) -> bool:
+    """Whether surnames are spellings of one: their common subsequence has ``ratio`` of the letters and lacks at most one of the longer, or all their consonants."""
+    shared = common_letters(a, b)
+    return 2 * shared >= ratio * (len(a) + len(b)) - 1e-9 and (shared >= max(len(a), len(b)) - 1 or consonants(a) == consonants(b))
+
+
+FORM = "field string, name string, surname string, given string, initial string, title string, known boolean"
 
 
 def parsed(names: DataFrame, short: list[tuple[str, str]]) -> DataFrame:
@@ -159,70 +169,110 @@ def parsed(names: DataFrame, short: list[tuple[str, str]]) -> DataFrame:
             rows = []
             for field, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (p := parse(name, given_names)) is not None:
-                    rows.append((field, name, *p, p[1] in given_names.full))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:7]] + [pa.array(columns[7], pa.bool_())], names=[c.split()[0] for c in FORM.split(", ")])
+                    rows.append((field, name, *p[:3], p[4], p[1] in given_names.full))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:6]] + [pa.array(columns[6], pa.bool_())], names=[c.split()[0] for c in FORM.split(", ")])
 
     return names.mapInArrow(run, FORM)
 
 
-def _explode_keys(forms: DataFrame, shortest: int) -> DataFrame:
+UNIT = ("unit", "field", "surname", "initial")
+
+
+def _suffix_keys(units: DataFrame, shortest: int) -> DataFrame:
+    """Units under the suffixes of their surname and of the surname read backwards; ``before``: the letter that a longer suffix would have, '' if there is none."""
     n = F.length("surname")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - shortest + 1, F.lit(1))), lambda i: F.concat(F.lit(">"), F.substring("surname", i, n)))
-    prefixes = F.transform(F.sequence(F.least(F.lit(shortest), n), n), lambda i: F.concat(F.lit("<"), F.substring("surname", F.lit(1), i)))
-    return forms.withColumn("key", F.explode(F.concat(suffixes, prefixes))).withColumn("key", F.concat_ws("|", "field", "key"))
+    suffix = lambda i: F.struct(F.substring("surname", i, n).alias("piece"), F.lit(">").alias("side"), F.when(i > 1, F.substring("surname", i - 1, F.lit(1))).otherwise("").alias("before"))
+    prefix = lambda i: F.struct(F.substring("surname", F.lit(1), i).alias("piece"), F.lit("<").alias("side"), F.substring("surname", i + 1, F.lit(1)).alias("before"))
+    both = F.concat(F.transform(F.sequence(F.lit(1), F.greatest(n - shortest + 1, F.lit(1))), suffix), F.transform(F.sequence(F.least(F.lit(shortest), n), n), prefix))
+    return units.select(*UNIT, F.explode(both).alias("k")).select(F.xxhash64("field", "k.side", "k.piece").alias("key"), "k.before", "unit", "initial")
 
 
-def candidates(forms: DataFrame, shortest: int = 4, common: int = 40) -> DataFrame:
-    """Forms under their keys: suffixes that are not common, common ones refined by the initial.
+def letters_left_out(word: Column) -> Column:
+    """``word`` and all that is left of it without one letter."""
+    out = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), out))
+
+
+def _consonants(word: Column) -> Column:
+    """``consonants`` as an expression."""
+    return F.regexp_replace(F.regexp_replace(F.replace(word, F.lit("ij"), F.lit("i")), r"(.)\1+", "$1"), "[aeiouy]", "")
 
-    Forms of which a refined suffix is common, and short surnames, in which a slip
-    can leave no long suffix, still meet under their surname with each letter left out
-    in turn, which words one slip apart always share.
-    """
+
+def _by_initial(keyed: DataFrame) -> DataFrame:
+    """Keys refined by the initial; units without one go along with each that their key has."""
+    initials = keyed.where("initial <> ''").select("key", F.col("initial").alias("_i")).distinct()
+    nameless = keyed.where("initial = ''")
+    every = keyed.withColumn("_i", F.col("initial")).unionByName(merging(nameless, initials, "key"))
+    return every.withColumn("key", F.xxhash64("key", "_i")).drop("_i")
+
+
+def candidates(units: DataFrame, shortest: int = 4, common: int = 40) -> DataFrame:
+    """``(key, before, unit, initial)``: units under suffixes that are not common, or not once refined, or with a letter left out."""
 
     def split(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         crowded = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > common).select("key")
-        return keyed.join(crowded, "key", "left_anti"), keyed.join(crowded, "key", "left_semi")
+        return merging(keyed, crowded, "key", "left_anti"), merging(keyed, crowded, "key", "left_semi")
 
-    rare, often = split(_explode_keys(forms, shortest))
-    refined, rest = split(often.withColumn("key", F.concat_ws("|", "key", "initial")))
-    n = F.length("surname")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("surname", F.lit(1), i - 1), F.substring("surname", i + 1, n)))
-    short = forms.where(n <= 2 * shortest + 1)
-    lacking = rest.select(*forms.columns).unionByName(short).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(without, F.array("surname")))))
-    return rare.unionByName(refined).unionByName(lacking.withColumn("key", F.concat_ws("|", "field", F.lit("-"), "key", "initial")).select(*rare.columns))
+    rare, often = split(_suffix_keys(units, shortest))
+    refined, rest = split(checkpoint(_by_initial(checkpoint(often))))
+    # a slip, or two letters swapped, can leave a surname less than ``shortest`` on both sides
+    lacking = checkpoint(merging(units, rest.select("unit").distinct(), "unit", "left_semi").unionByName(units.where(F.length("surname") <= 2 * shortest)).distinct())
+    without = lacking.select(F.explode(letters_left_out(F.col("surname"))).alias("_w"), *UNIT).select(F.xxhash64("field", F.lit("-"), "_w").alias("key"), F.lit(None).cast("string").alias("before"), "unit", "initial")
+    skeleton = _by_initial(lacking.select(F.xxhash64("field", F.lit("~"), _consonants(F.col("surname"))).alias("key"), F.lit(None).cast("string").alias("before"), "unit", "initial"))
+    return rare.unionByName(refined).unionByName(without).unionByName(skeleton)
 
 
-def slip_links(forms: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """``(a, b)``: forms with surnames one slip apart and given names that can be one."""
-    keyed = candidates(forms)
+def similar_surnames(units: DataFrame, ratio: float = 0.8, common: int = 40) -> DataFrame:
+    """``(a, b, equal)``: units, a < b, whose surnames are alike or ``equal``, and whose initials are the same or lacking."""
+    keyed = written(candidates(units, common=common))
     x, y = keyed.alias("x"), keyed.alias("y")
-    given = (F.col("x.given") == F.col("y.given")) | (F.col("x.given") == "") | (F.col("y.given") == "") | (~(F.col("x.known") & F.col("y.known")) & (F.levenshtein("x.given", "y.given", 2) >= 0))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.form") < F.col("y.form")) & (F.col("x.surname") != F.col("y.surname")) & ((F.col("x.initial") == F.col("y.initial")) | (F.col("x.initial") == "") | (F.col("y.initial") == "")) & given)
-    met = met.where(F.levenshtein("x.surname", "y.surname", 2) >= 0).select(F.col("x.form").alias("a"), F.col("y.form").alias("b"), F.col("x.surname").alias("sa"), F.col("y.surname").alias("sb")).distinct()
+    sx, sy = (F.split_part(f"{t}.unit", F.lit("|"), F.lit(2)) for t in "xy")
+    longest = F.col("x.before").isNull() | (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == "")
+    initial = (F.col("x.initial") == F.col("y.initial")) | (F.col("x.initial") == "") | (F.col("y.initial") == "")
+    # letters to leave out and to add are no fewer than letters to change, add and leave out
+    met = merging(x, y, (F.col("x.key") == F.col("y.key")) & (F.col("x.unit") < F.col("y.unit")) & longest & initial & (F.levenshtein(sx, sy) <= (1 - ratio) * (F.length(sx) + F.length(sy)) + 1e-9))
+    met = met.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"), sx.alias("sa"), sy.alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [one_slip(a, b) and lcs_ratio(a, b) >= ratio for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            keep = [alike(a, b, ratio) for a, b in pairs]
+            equal = pa.array([a == b for a, b in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], equal], names=["a", "b", "equal"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, "a string, b string")
+    return met.mapInArrow(run, "a string, b string, equal boolean").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``(form, person)``: the smallest form that each linked form reaches."""
+def full_links(forms: DataFrame, near: DataFrame) -> DataFrame:
+    """``(a, b)``: forms with full given names that match, of units with similar surnames."""
+    near = near.where("not equal").select("a", "b")
+    full = forms.where("given <> ''").select("unit", "form", "given", "known")
+    keys = F.explode(letters_left_out(F.col("given"))).alias("key")
+    x = merging(near, full.withColumnRenamed("unit", "a"), "a").select("a", "b", "form", "given", "known", keys).alias("x")
+    y = merging(near, full.withColumnRenamed("unit", "b"), "b").select("a", "b", "form", "given", "known", keys).alias("y")
+    fits = (F.col("x.given") == F.col("y.given")) | (~(F.col("x.known") & F.col("y.known")) & (F.levenshtein("x.given", "y.given", 2) >= 0))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.key") == F.col("y.key"))
+    return merging(x, y, same & fits).select(F.col("x.form").alias("a"), F.col("y.form").alias("b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(form, person)``: the smallest form that each linked form reaches.
+
+    Each round takes the smallest label among neighbours and then the label of that
+    label, so that chains shorten by powers; rounds end when no label changes.
+    """
     both = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("form"), F.least("a", "m").alias("person"))
-    label = checkpoint(label)
-    for _ in range(most_rounds):
-        heard = both.join(label.withColumnRenamed("form", "b"), "b").groupBy("a").agg(F.min("person").alias("m"))
-        met = label.join(heard, label["form"] == heard["a"])
-        nxt = checkpoint(met.select("form", F.least("person", "m").alias("person"), (F.col("m") < F.col("person")).alias("moved")))
-        label = nxt.select("form", "person")
-        if nxt.where("moved").isEmpty():
+    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("form"), F.least("a", "m").alias("person")))
+    while True:
+        heard = merging(both, label.withColumnRenamed("form", "b"), "b").groupBy("a").agg(F.min("person").alias("m"))
+        step = checkpoint(merging(label, heard, label["form"] == heard["a"]).select("form", F.least("person", "m").alias("next"), "person"))
+        head = step.select(F.col("form").alias("head"), F.col("next").alias("far"))
+        label = checkpoint(merging(step.withColumnRenamed("next", "head"), head, "head").select("form", F.col("far").alias("person"), (F.col("far") < F.col("person")).alias("moved")))
+        done = label.where("moved").isEmpty()
+        label = label.select("form", "person")
+        if done:
             return label
-    raise RuntimeError("chains of spellings are longer than expected")
 
 
 def spellings(df: DataFrame, short_names: DataFrame, author: str = "author", characters: str = "characters") -> DataFrame:
@@ -243,37 +293,41 @@ def short_name_rows(short_names: DataFrame, most: int = 20_000) -> list[tuple[st
 def variants(df: DataFrame, short_names: DataFrame, author: str = "author", characters: str = "characters") -> DataFrame:
     """``(field, name, person)``: spellings and the persons they can mean, more than one only for ambiguous initials."""
     names = parsed(spellings(df, short_names, author, characters), short_name_rows(short_names))
-    form = F.concat_ws("|", "field", "surname", "given", "initial", F.when(F.col("initial") == "", F.col("title")).otherwise(""))
-    names = spread(names.withColumn("form", form))
-    forms = checkpoint(names.groupBy("form").agg(*(F.any_value(c).alias(c) for c in ("field", "surname", "given", "initial", "known")), F.max("title").alias("title")))
-    links = checkpoint(slip_links(forms))
-    full = forms.where("given <> ''")
-    kind = forms.select("form", (F.col("given") == "").alias("brief"))
-    # links between full forms make persons, those between brief forms stand where no person takes them
-    ends = links.join(kind.select(F.col("form").alias("a"), F.col("brief").alias("ba")), "a").join(kind.select(F.col("form").alias("b"), F.col("brief").alias("bb")), "b")
-    label = components(ends.where("ba = bb").select("a", "b"))
-    person = checkpoint(full.select("form", "field", "surname", "initial").join(label, "form", "left").withColumn("person", F.coalesce("person", "form")))
-
-    # spellings with an initial, or a title and a surname, join persons of that surname; slips count where no equal surname does
-    brief = forms.where("given = ''").select("form", "field", "surname", "initial", "title")
-    fits = (F.col("b.initial") == "") | (F.col("b.initial") == F.col("p.initial"))
-    same = brief.alias("b").join(person.alias("p"), (F.col("b.field") == F.col("p.field")) & (F.col("b.surname") == F.col("p.surname")) & fits).select("b.form", "b.initial", "b.title", "p.person").distinct()
-    same = checkpoint(same)
-    mixed = ends.where("ba <> bb").select(F.when(F.col("ba"), F.col("a")).otherwise(F.col("b")).alias("form"), F.when(F.col("ba"), F.col("b")).otherwise(F.col("a")).alias("hub"))
-    near = brief.join(same.select("form"), "form", "left_anti").join(mixed, "form").alias("b").join(person.alias("p"), F.col("b.hub") == F.col("p.form")).where(fits)
-    joined = checkpoint(same.unionByName(near.select("b.form", "b.initial", "b.title", "p.person").distinct()))
-    titles = names.where("title <> ''").select("form", "title").join(person.select("form", "person"), "form").select("person", F.col("title").alias("has")).distinct()
-    by_title = joined.where("initial = ''").join(titles, "person", "left").groupBy("form", "person").agg(F.coalesce(F.max((F.col("has") == F.col("title")).cast("int")), F.lit(0)).alias("own"))
-    whole = Window.partitionBy("form")  # the persons of one surname
-    titled = by_title.withColumns({"best": F.max("own").over(whole), "choices": F.count("*").over(whole)}).where("own = 1 or (best = 0 and choices = 1)").select("form", "person")
-    attached = checkpoint(joined.where("initial <> ''").select("form", "person").unionByName(titled))
-    alone = brief.select("form").join(attached, "form", "left_anti").join(label, "form", "left").select("form", F.coalesce("person", "form").alias("person"))
+    # no part of a name holds the mark
+    unit = F.concat_ws("|", "field", "surname", "initial")
+    form = F.concat_ws("|", "unit", "given", F.when(F.col("initial") == "", F.col("title")).otherwise(""))
+    names = spread(names.withColumn("unit", unit).withColumn("form", form))
+    forms = checkpoint(names.groupBy("form").agg(*(F.any_value(c).alias(c) for c in (*UNIT, "given", "known", "title"))))
+    near = checkpoint(similar_surnames(checkpoint(forms.select(*UNIT).distinct())))
+    brief = forms.where("given = ''").select("form", "unit", "initial", F.when(F.col("initial") == "", F.col("title")).alias("title"))
+
+    # spellings without a full given name are linked to each other too, for those that no person takes
+    u, v = brief.alias("u"), brief.alias("v")
+    slipped = merging(merging(near.where("not equal"), u, F.col("a") == F.col("u.unit")), v, (F.col("b") == F.col("v.unit")) & (F.col("u.initial") == F.col("v.initial")) & F.col("u.title").eqNullSafe(F.col("v.title")))
+    label = components(checkpoint(full_links(forms, near)).unionByName(slipped.select(F.col("u.form").alias("a"), F.col("v.form").alias("b"))))
+    full = forms.where("given <> ''").select("form", "unit")
+    person = written(merging(full, label, "form", "left").select("form", "unit", F.coalesce("person", "form").alias("person")))
+
+    # where a spelling may find its person: under its own surname, or if nobody has it, under similar ones
+    members = person.select(F.col("unit").alias("at"), "person").distinct()
+    count = members.groupBy("at").agg(F.count("*").alias("n"), F.min("person").alias("one"))
+    ways = near.select(F.col("a").alias("unit"), F.col("b").alias("at"), "equal").unionByName(near.select(F.col("b").alias("unit"), F.col("a").alias("at"), "equal"))
+    ways = ways.unionByName(brief.select("unit", F.col("unit").alias("at"), F.lit(True).alias("equal")).distinct())
+    places = merging(merging(brief, ways, "unit"), count, "at")
+    own = Window.partitionBy("form")  # the units of one surname, and of those like it: an initial each
+    places = checkpoint(places.withColumn("_best", F.max("equal").over(own)).where("equal = _best").select("form", "initial", "title", "at", "n", "one"))
+    initialled = merging(places.where("initial <> ''").select("form", "at"), members, "at").select("form", "person").distinct()
+    titles = merging(names.where("title <> ''").select("form", "title"), person, "form").select(F.col("unit").alias("at"), "person", "title").distinct()
+    titled = merging(places.where("initial = ''").select("form", "at", "title"), titles, ["at", "title"]).select("form", "person").distinct()
+    single = places.where("initial = ''").groupBy("form").agg(F.when((F.max("n") == 1) & (F.min("one") == F.max("one")), F.min("one")).alias("person")).where("person is not null")
+    attached = written(initialled.unionByName(titled).unionByName(merging(single, titled.select("form").distinct(), "form", "left_anti").select("form", "person")))
+    alone = merging(merging(brief.select("form"), attached.select("form").distinct(), "form", "left_anti"), label, "form", "left").select("form", F.coalesce("person", "form").alias("person"))
     persons = person.select("form", "person").unionByName(attached).unionByName(alone)
-    return checkpoint(names.select("field", "name", "form").join(persons, "form").select("field", "name", "person").distinct())
+    return checkpoint(merging(names.select("field", "name", "form"), persons, "form").select("field", "name", "person").distinct())
 
 
 def variant_pairs(persons: DataFrame) -> DataFrame:
     """``(field, name_a, name_b)``: spellings of one person, the smaller first."""
     x, y = persons.alias("x"), persons.alias("y")
-    met = x.join(y, (F.col("x.person") == F.col("y.person")) & (F.col("x.field") == F.col("y.field")) & (F.col("x.name") < F.col("y.name")))
+    met = merging(x, y, (F.col("x.person") == F.col("y.person")) & (F.col("x.field") == F.col("y.field")) & (F.col("x.name") < F.col("y.name")))
     return met.select("x.field", F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
