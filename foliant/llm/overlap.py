@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.classes import fold, spread, value_set
 from foliant.llm.partenum import SKETCH_BITS, feature_counts
-from foliant.session import checkpoint
+from foliant.session import checkpoint, merging
 
 SMALL = 8
 HOT = 256
@@ -112,8 +112,8 @@ def similar_records(classes: DataFrame, t_a: float, t_b: float, hot: int = HOT)
     counts_b = feature_counts(sets.select(F.col("set_b").alias("features")))
     first = checkpoint(_keys(sets, "set_a", counts_a, t_a, refine=False))
     crowded = first.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("key")
-    cold = first.join(crowded, "key", "left_anti")
-    busy = first.join(crowded, "key", "left_semi").join(sets.select("class", "set_b"), "class")
+    cold = merging(first, crowded, "key", "left_anti")
+    busy = merging(merging(first, crowded, "key", "left_semi"), sets.select("class", "set_b"), "class")
     keys = cold.unionByName(_keys(busy, "set_b", counts_b, t_b, refine=True))
 
     def near(x: str, y: str, t: float) -> Column:
@@ -122,14 +122,14 @@ def similar_records(classes: DataFrame, t_a: float, t_b: float, hot: int = HOT)
     def large_enough(flag: str, size: str) -> Column:
         return ~F.col(f"x.{flag}") | (F.greatest(f"x.{size}", f"y.{size}") > SMALL)
 
-    met = keys.alias("x").join(
-        keys.alias("y"),
+    met = merging(
+        keys.alias("x"), keys.alias("y"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.list") == F.col("y.list")) & (F.col("x.list_b") == F.col("y.list_b"))
         & near("x.na", "y.na", t_a) & near("x.nb", "y.nb", t_b) & large_enough("list", "na") & large_enough("list_b", "nb"),
     ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     left = sets.select(F.col("class").alias("a"), F.col("set_a").alias("xa"), F.col("set_b").alias("xb"))
     right = sets.select(F.col("class").alias("b"), F.col("set_a").alias("ya"), F.col("set_b").alias("yb"))
-    both = met.join(left, "a").join(right, "b")
+    both = merging(merging(met, left, "a"), right, "b")
     ja = _jaccard(F.col("xa"), F.col("ya"), F.size(F.array_intersect("xa", "ya")))
     jb = _jaccard(F.col("xb"), F.col("yb"), F.size(F.array_intersect("xb", "yb")))
     return both.select("a", "b", ja.alias("similarity_a"), jb.alias("similarity_b")).where((F.col("similarity_a") >= t_a - 1e-9) & (F.col("similarity_b") >= t_b - 1e-9))
@@ -144,5 +144,5 @@ def similar_value_sets(df: DataFrame, id_col: str = "id", set_a: str = "characte
     sets = df.select(F.col(id_col).alias("id"), hashed_set(set_a).alias("set_a"), hashed_set(set_b).alias("set_b"))
     members, classes = fold(sets, ["set_a", "set_b"])
     classes = spread(classes.where("size(set_a) > 0 and size(set_b) > 0"))
-    members = checkpoint(members.join(classes.select("class"), "class", "left_semi").select("id", "class"))
+    members = checkpoint(merging(members, classes.select("class"), "class", "left_semi").select("id", "class"))
     return members, similar_records(classes, t_a, t_b)
