@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import checkpoint, parallelism
+from foliant.session import checkpoint, merging, parallelism
 
 WORDS = 6  # of 64 bits
 CODE = tuple(f"c{w}" for w in range(WORDS))
@@ -181,8 +181,8 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
 def join_neighbours(graph: DataFrame, codes: DataFrame, count: int, k: int, far: int) -> DataFrame:
     """Pairs of neighbours of each vector that are near enough to enter the list of one of them."""
     full = graph.groupBy("u").agg(F.count("*").alias("_c"), F.max("h").alias("_m")).select(F.col("u").alias("v"), F.when(F.col("_c") >= k, F.col("_m")).otherwise(far).cast("int").alias("worst"))
-    known = codes.withColumnRenamed("n", "v").join(full, "v").select("v", "worst", *CODE)
-    rows = graph.select("u", "v").join(known, "v").select("u", "v", "worst", *CODE)
+    known = merging(codes.withColumnRenamed("n", "v"), full, "v").select("v", "worst", *CODE)
+    rows = merging(graph.select("u", "v"), known, "v").select("u", "v", "worst", *CODE)
     rows = rows.repartition(_partitions(graph, k * count), "u").sortWithinPartitions("u", "v")
 
     def compare(u: np.ndarray, v: np.ndarray, worst: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -229,24 +229,36 @@ def join_neighbours(graph: DataFrame, codes: DataFrame, count: int, k: int, far:
     return rows.mapInArrow(run, PAIR)
 
 
-def build_graph(codes: DataFrame, count: int, k_graph: int = 20, rounds: int = 2, far: int | None = None, tables: int = 24, window: int = 3) -> DataFrame:
-    """``(u, v, h)``: the neighbour lists after ``rounds`` joins of neighbours of neighbours."""
+def build_graph(codes: DataFrame, count: int, k_graph: int = 20, rounds: int | None = None, far: int | None = None, tables: int = 16, window: int = 3, settled: float = 0.02) -> DataFrame:
+    """``(u, v, h)``: the neighbour lists after joins of neighbours of neighbours, repeated until they hardly improve.
+
+    What lists have come nearer than ``far``, summed over all, never falls; the joins
+    end when a round adds less than the share ``settled`` to it, or after ``rounds``.
+    """
     far = angle_bits(0.5) if far is None else far
     graph = checkpoint(nearest(first_pairs(codes, count, tables, window, far), k_graph))
-    for _ in range(rounds):
+    near, done = _nearness(graph, far), 0
+    while done != rounds:
         met = join_neighbours(graph, codes, count, k_graph, far)
         graph = checkpoint(nearest(met.unionByName(graph.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "h")), k_graph))
+        before, near, done = near, _nearness(graph, far), done + 1
+        if near <= before * (1 + settled):
+            break
     return graph
 
 
+def _nearness(graph: DataFrame, far: int) -> int:
+    return graph.agg(F.coalesce(F.sum(far + 1 - F.col("h")), F.lit(0))).first()[0]
+
+
 def _labels(pairs: DataFrame, rounds: int = 2) -> DataFrame:
     """``(n, label)``: the smallest vector within a few edges, where edges are short."""
     near = pairs.where(F.col("h") <= angle_bits(0.75)).select("u", "v")
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
     label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("label"))
     for _ in range(rounds):
-        heard = both.join(label.withColumnRenamed("n", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        label = checkpoint(label.join(heard, label["n"] == heard["u"]).select("n", F.least("label", "m").alias("label")))
+        heard = merging(both, label.withColumnRenamed("n", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
+        label = checkpoint(merging(label, heard, label["n"] == heard["u"]).select("n", F.least("label", "m").alias("label")))
     return label
 
 
@@ -257,11 +269,11 @@ def exact_pairs(pairs: DataFrame, vectors: DataFrame, count: int, block: int = 2
     ``block`` vectors are split by the first vector.
     """
     label = _labels(pairs)
-    placed = pairs.join(label.withColumnRenamed("n", "u"), "u", "left").withColumn("label", F.coalesce("label", "u"))
+    placed = merging(pairs, label.withColumnRenamed("n", "u"), "u", "left").withColumn("label", F.coalesce("label", "u"))
     crowd = placed.groupBy("label").agg(F.count("*").alias("_c")).select("label", F.greatest(F.lit(1), F.ceil(F.col("_c") / (4 * block))).alias("_s"))
-    placed = checkpoint(placed.join(crowd, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("u"), F.col("_s"))).alias("block"), "u", "v"))
+    placed = checkpoint(merging(placed, crowd, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("u"), F.col("_s"))).alias("block"), "u", "v"))
     needed = placed.select("block", F.col("u").alias("n")).unionByName(placed.select("block", F.col("v").alias("n"))).distinct()
-    shipped = needed.join(vectors, "n").select("block", F.lit(0).alias("kind"), F.col("n").alias("u"), F.lit(0).cast("bigint").alias("v"), "vector")
+    shipped = merging(needed, vectors, "n").select("block", F.lit(0).alias("kind"), F.col("n").alias("u"), F.lit(0).cast("bigint").alias("v"), "vector")
     asked = placed.select("block", F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("binary").alias("vector"))
     rows = shipped.unionByName(asked).repartition(_partitions(pairs, 16 * count), "block").sortWithinPartitions("block", "kind")
 
@@ -304,9 +316,9 @@ class Collection:
         light = heavy.select("id", "digest", "row")
         once = light.groupBy("id").agg(F.min_by("row", F.struct("digest", "row")).alias("row"), F.min("digest").alias("digest"))
         first = once.groupBy("digest").agg(F.min("row").alias("n"))
-        self.members = checkpoint(once.join(first, "digest").select("id", "n"))
+        self.members = checkpoint(merging(once, first, "digest").select("id", "n"))
         numbers = self.members.select("n").distinct()
-        self.codes = checkpoint(heavy.select(F.col("row").alias("n"), *CODE).join(numbers, "n", "left_semi").repartition(2 * parallelism(df.sparkSession)))
+        self.codes = checkpoint(merging(heavy.select(F.col("row").alias("n"), *CODE), numbers, "n", "left_semi").repartition(2 * parallelism(df.sparkSession)))
         self.vectors = heavy.select(F.col("row").alias("n"), "vector")
         self.count = self.codes.count()
 
@@ -319,10 +331,10 @@ def nearest_ids(collection: Collection, exact: DataFrame, k: int, least: float)
     close = exact.where(F.col("cosine") >= least)
     edges = close.select(F.col("u").alias("a"), F.col("v").alias("n"), "cosine").unionByName(close.select(F.col("v").alias("a"), F.col("u").alias("n"), "cosine"))
     own = heads.select(F.col("n").alias("a"), F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
-    others = edges.distinct().join(heads.withColumnRenamed("id", "neighbour"), "n").select("a", "neighbour", "cosine")
+    others = merging(edges.distinct(), heads.withColumnRenamed("id", "neighbour"), "n").select("a", "neighbour", "cosine")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour")
     lists = own.unionByName(others).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
-    mine = collection.members.select("id", F.col("n").alias("a")).join(lists, "a").where("id <> neighbour")
+    mine = merging(collection.members.select("id", F.col("n").alias("a")), lists, "a").where("id <> neighbour")
     rank = Window.partitionBy("id").orderBy("_r")
     return mine.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).select("id", "neighbour", "cosine")
 
@@ -353,8 +365,8 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, count: int, b
     best = checkpoint(keep(met.withColumn("opened", F.lit(False))))
     for _ in range(rounds):
         fresh = best.where("not opened").select("q", F.col("v").alias("u"))
-        reached = fresh.join(graph.select("u", "v"), "u").select("q", "v").distinct().join(best.select("q", "v"), ["q", "v"], "left_anti")
-        with_codes = reached.join(codes.withColumnRenamed("n", "v").select("v", *CODE), "v").join(asked, "q")
+        reached = merging(merging(fresh, graph.select("u", "v"), "u").select("q", "v").distinct(), best.select("q", "v"), ["q", "v"], "left_anti")
+        with_codes = merging(merging(reached, codes.withColumnRenamed("n", "v").select("v", *CODE), "v"), asked, "q")
         h = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in CODE), F.lit(0))
         compared = with_codes.select("q", "v", h.cast("int").alias("h"), F.lit(False).alias("opened")).where(F.col("h") <= far)
         best = checkpoint(keep(best.withColumn("opened", F.lit(True)).unionByName(compared)))
@@ -368,7 +380,7 @@ def search_ids(df: DataFrame, is_query: str, id_col: str = "bookid", vector_col:
     collection = Collection(df, id_col, vector_col, dimensions)
     lists = build_graph(collection.codes, collection.count, **graph)
     numbers = collection.members.where(is_query).select("n").distinct()
-    queries = collection.codes.join(numbers, "n", "left_semi").select((-F.col("n") - 1).alias("q"), *CODE)
+    queries = merging(collection.codes, numbers, "n", "left_semi").select((-F.col("n") - 1).alias("q"), *CODE)
     found = search(lists, collection.codes, queries, collection.count)
     own = (-F.col("q") - 1).alias("n")
     slack = round(3 * math.sqrt(BITS * 0.25))
