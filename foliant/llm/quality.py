@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES = ("prose", "list", "table", "junk")
-PROSE = 0
+LABELS = ("prose", "list", "table", "junk")
+PROSE, LIST, TABLE, JUNK = range(4)
+#: The label of each state: sentences, bullets, runs of items, tables, repetitions, garbled lines, markup, text decoded wrongly, prose with numbers, prose without an end, rows of numbers.
+LABEL_OF = np.array([PROSE, LIST, LIST, TABLE, JUNK, JUNK, JUNK, JUNK, PROSE, PROSE, TABLE])
 
 #: Sizes of the categorical features, in the order of ``line_codes``.
 SIZES = (5, 5, 4, 4, 3, 2, 3, 3, 3, 2, 3, 2, 2)
@@ -86,7 +88,7 @@ def line_codes(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], tupl
     tail = text.rstrip()
     end = tail[-1] in _ENDS
     r = letters / solid
-    distinct = len(set(low)) / nw
+    distinct = len(set(zip(low, low[1:]))) / (nw - 1) if nw > 1 else 1.0  # of pairs: words come again in any long sentence
     wrong = int(not text.isascii() and len(_LATIN1(text)) > 0.4 * letters)  # as of texts decoded by a wrong table
     items = 0
     if nw >= 6 and not end:
@@ -101,7 +103,7 @@ def line_codes(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], tupl
         int(end),
         1 if _BULLETS(text) else 2 if _KEYS(text) else 0,
         0 if r < 0.5 else 1 if r < 0.78 else 2,
-        0 if nw < 6 or distinct >= 0.7 else 1 if distinct >= 0.5 else 2,
+        0 if nw < 6 or distinct >= 0.7 else 1 if distinct >= 0.25 else 2,
         int(max(map(len, words)) > 35),
         tag,
         items,
@@ -111,36 +113,32 @@ def line_codes(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], tupl
 
 
 def seed(codes: np.ndarray) -> np.ndarray:
-    """The state of lines of which plain rules are sure, else -1."""
+    """The state of lines of which plain rules are sure, else -1; for fitting only."""
     f = codes.T
-    out = np.full(len(codes), -1, np.int8)
-    enough = (f[_COMMON] >= 3) | (f[_COMMON] == 2) & (f[_END] == 1)
-    out[(f[_NW] >= 2) & enough & (f[_TITLE] != 2) & (f[_DELIM] < 2) & (f[_DIGIT] <= 1) & (f[_REPEAT] == 0) & (f[_BULLET] == 0) & (f[_TAG] < 2)] = PROSE
-    out[(f[_NW] >= 3) & (f[_COMMON] >= 3) & (f[_TITLE] != 2) & (f[_DIGIT] <= 1) & (f[_REPEAT] <= 1) & (f[_BULLET] == 0) & (f[_TAG] < 2) & (f[_DELIM] < 2)] = PROSE
-    out[(f[_NW] >= 3) & (f[_COMMON] >= 2) & (f[_TITLE] <= 1) & (f[_DIGIT] <= 2) & (f[_END] == 1) & (f[_DELIM] == 0) & (f[_BULLET] == 0) & (f[_REPEAT] == 0)] = PROSE
-    out[(f[_BULLET] == 1) & (f[_NW] <= 3) & (f[_END] == 0) & (f[_DELIM] == 0)] = 1
-    out[(f[_BULLET] == 2) & (f[_NW] <= 2) & (f[_END] == 0)] = 1
-    out[(f[_NW] <= 1) & (f[_END] == 0) & (f[_LONG] == 0) & (f[_LETTER] == 2) & (f[_REPEAT] == 0) & (f[_DIGIT] == 0) & (f[_DELIM] <= 1) & (f[_TAG] < 2)] = 1
-    out[(f[_ITEMS] == 1) & (f[_LETTER] == 2) & (f[_DIGIT] <= 1) & (f[_REPEAT] == 0)] = 1
-    out[(f[_NW] <= 2) & (f[_TITLE] == 2) & (f[_END] == 0) & (f[_DELIM] == 0) & (f[_DIGIT] == 0) & (f[_LETTER] == 2)] = 1
-    out[(f[_DELIM] == 2) & (f[_COMMON] <= 2) & (f[_BULLET] == 0)] = 2
-    out[(f[_DIGIT] == 3) & (f[_NW] >= 1) & (f[_DELIM] > 0)] = 2
-    out[(f[_LONG] == 1) & (f[_NW] < 3)] = 3
-    out[(f[_LETTER] == 0) & (f[_DIGIT] <= 1)] = 3
-    out[(f[_NW] >= 3) & (f[_COMMON] == 0) & (f[_TITLE] != 2) & (f[_DELIM] == 0) & (f[_DIGIT] == 0)] = 3
-    out[f[_REPEAT] == 2] = 3
-    out[f[_TAG] == 2] = 3
-    out[f[_WRONG] == 1] = 3
+    out = np.full(len(codes), -1, np.int64)
+    plain = (f[_BULLET] == 0) & (f[_TAG] < 2) & (f[_REPEAT] <= 1) & (f[_DIGIT] <= 1) & (f[_DELIM] < 2) & (f[_TITLE] != 2)
+    worded = (f[_COMMON] >= 3) | (f[_COMMON] == 2) & (f[_END] == 1) | (f[_COMMON] == 1) & (f[_END] == 1) & (f[_LETTER] >= 1) & (f[_REPEAT] == 0)
+    prose = plain & worded & (f[_NW] >= 1)
+    out[prose] = 0
+    out[prose & (f[_DIGIT] > 0)] = 8
+    out[prose & (f[_END] == 0)] = 9
+    bare = (f[_END] == 0) & (f[_DELIM] < 2) & (f[_TAG] < 2)
+    out[bare & ((f[_BULLET] == 1) & (f[_NW] <= 3) | (f[_BULLET] == 2) & (f[_NW] <= 2))] = 1
+    out[bare & (f[_BULLET] == 0) & (f[_DIGIT] == 0) & (f[_LETTER] == 2) & (f[_LONG] == 0) & ((f[_NW] <= 1) | (f[_NW] == 2) & (f[_TITLE] == 2))] = 1
+    out[(f[_ITEMS] == 1) & (f[_LETTER] == 2) & (f[_DIGIT] <= 1) & (f[_REPEAT] == 0)] = 2
+    out[(f[_DELIM] == 2) & (f[_COMMON] <= 2) & (f[_BULLET] == 0) | (f[_DELIM] > 0) & (f[_DIGIT] == 3)] = 3
+    out[(f[_LETTER] == 0) & (f[_DIGIT] >= 2) & (f[_NW] >= 2)] = 10
+    out[(f[_LONG] == 1) & (f[_NW] < 3) | (f[_LETTER] == 0) & (f[_DIGIT] <= 1) | (f[_NW] >= 1) & (f[_COMMON] == 0) & (f[_TITLE] != 2) & (f[_DELIM] == 0) & (f[_DIGIT] == 0) & (f[_BULLET] == 0)] = 5
+    out[f[_REPEAT] == 2] = 4
+    out[f[_TAG] == 2] = 6
+    out[f[_WRONG] == 1] = 7
     return out
 
 
 def evidence(codes: np.ndarray, doubt: float) -> np.ndarray:
-    """Lines x states: 1, but ``doubt`` for other states than the one that a plain rule is sure of."""
+    """Lines x states: 1, but ``doubt`` for states of other labels than that of which a plain rule is sure."""
     sure = seed(codes)
-    out = np.ones((len(codes), len(STATES)))
-    out[sure >= 0] = doubt
-    out[np.flatnonzero(sure >= 0), sure[sure >= 0]] = 1.0
-    return out
+    return np.where((sure >= 0)[:, None] & (LABEL_OF[np.maximum(sure, 0)][:, None] != LABEL_OF), doubt, 1.0)
 
 
 @dataclass(frozen=True)
@@ -151,14 +149,15 @@ class LineModel:
 
     def likelihood(self, codes: np.ndarray) -> np.ndarray:
         """Lines x states, scaled to at most 1 a line."""
-        log = np.zeros((len(codes), len(STATES)))
+        log = np.zeros((len(codes), len(self.start)))
         for k, table in enumerate(self.emit):
             log += np.log(table)[:, codes[:, k]].T
         return np.exp(log - log.max(1, keepdims=True))
 
-    def label(self, codes: np.ndarray, starts: np.ndarray, doubt: float = 1e-3) -> np.ndarray:
-        """The likeliest state of each line, plain rules counting as strong evidence."""
-        return self.posterior(codes, starts, self.likelihood(codes) * evidence(codes, doubt))[0].argmax(1)
+    def label(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The likeliest label of each line, by the sum over its states."""
+        states = self.posterior(codes, starts)[0]
+        return np.stack([states[:, LABEL_OF == label].sum(1) for label in range(len(LABELS))], 1).argmax(1)
 
     def posterior(self, codes: np.ndarray, starts: np.ndarray, like: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of each line's state, and expected moves. ``starts``: first line of each document, and the end."""
@@ -185,23 +184,23 @@ class LineModel:
         return both / both.sum(1, keepdims=True), moves
 
 
-def fit_model(codes: np.ndarray, starts: np.ndarray, rounds: int = 4) -> LineModel:
-    """Expectation-maximisation from the sure lines, which keep their label."""
-    n = len(STATES)
+def fit_model(codes: np.ndarray, starts: np.ndarray, rounds: int = 2) -> LineModel:
+    """Expectation-maximisation from the states of the sure lines, which keep their label."""
+    n = len(LABEL_OF)
     sure = seed(codes)
     clamp = evidence(codes, 1e-6)
 
     def maximise(weight: np.ndarray, moves: np.ndarray) -> LineModel:
         emit = []
         for k, size in enumerate(SIZES):
-            table = np.full((n, size), 0.5)
+            table = np.full((n, size), 0.02)
             for v in range(size):
                 table[:, v] += weight[codes[:, k] == v].sum(0)
             emit.append(table / table.sum(1, keepdims=True))
         head = weight[starts[:-1]].sum(0) + 1 if len(starts) > 1 else np.ones(n)
         return LineModel(head / head.sum(), moves / moves.sum(1, keepdims=True), tuple(emit))
 
-    weight = np.where(sure[:, None] >= 0, clamp, 0.0)
+    weight = (sure[:, None] == np.arange(n)).astype(float)
     model = maximise(weight, np.ones((n, n)) + 12 * np.eye(n))
     for _ in range(rounds):
         weight, moves = model.posterior(codes, starts, model.likelihood(codes) * clamp)
@@ -223,21 +222,25 @@ def _analyse(texts: list[str | None], common: frozenset[str]) -> tuple[np.ndarra
 
 
 def fit(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2_000, sample_lines: int = 200) -> LineModel:
-    """The model fitted on up to ``sample_rows`` documents (lowest hashes of the id) and up to ``sample_lines`` lines of each."""
-    ids = df.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id", "left_semi")
+    """The model fitted on up to ``sample_rows`` documents, those with the lowest hashes of id and text, and of each on a run of up to ``sample_lines`` lines at a place that the hash picks.
+
+    One pass without a shuffle of texts: only documents under a bound on the hash, a little more than the sample, are read by Python.
+    """
+    total = df.count()
+    bound = min(2**63 - 1, -(2**63) + int(1.5 * sample_rows / max(1, total) * 2**64))
+    few = df.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text")).where((F.col("_h") <= bound) & (F.length(F.trim("_text")) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
-                codes = [line_codes(u, common)[0] for u in units(text or "")[:sample_lines]]
-                rows.append(np.array(codes, np.int8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["codes"])
-
-    rows = [np.frombuffer(r[0], np.int8).reshape(-1, len(SIZES)) for r in picked.select("_text").mapInArrow(run, "codes binary").limit(sample_rows).collect()]
-    rows.sort(key=lambda m: m.tobytes())
-    rows = [m for m in rows if len(m)]
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = units(text)
+                at = h % (len(lines) - sample_lines + 1) if len(lines) > sample_lines else 0
+                rows.append(np.array([line_codes(u, common)[0] for u in lines[at : at + sample_lines]], np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["_h", "codes"])
+
+    sample = few.mapInArrow(run, "_h bigint, codes binary").groupBy("_h").agg(F.min("codes").alias("codes")).orderBy("_h").limit(sample_rows)
+    rows = [m for r in sample.collect() if len(m := np.frombuffer(r["codes"], np.int8).reshape(-1, len(SIZES)))]
     codes = np.concatenate(rows) if rows else np.zeros((0, len(SIZES)), np.int8)
     return fit_model(codes, np.cumsum([0, *map(len, rows)]))
 
@@ -277,7 +280,7 @@ def text_quality(df: DataFrame, model: LineModel, common: frozenset[str], id_col
             columns = [
                 pa.array(words.astype(np.int64)), ratio(letters, words), ratio(total(sums[:, 3]), size), pa.array(lines.astype(np.int64)),
                 ratio(total(sums[:, 4]), lines), ratio(total(sums[:, 2]), words), pa.array(size.astype(np.int64)),
-                *(ratio(total(chars * (label == s)), size) for s in range(len(STATES))),
+                *(ratio(total(chars * (label == s)), size) for s in range(len(LABELS))),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *(c.split()[0] for c in SCHEMA.split(", "))])
 

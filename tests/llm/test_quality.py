@@ -59,7 +59,7 @@ def test_fit_without_rows(spark, common):
 
 def test_posteriors_equal_brute_force():
     rng = np.random.default_rng(0)
-    n = len(q.STATES)
+    n = len(q.LABEL_OF)
     m = q.LineModel(rng.dirichlet(np.ones(n)), rng.dirichlet(np.ones(n), n), tuple(rng.dirichlet(np.ones(s), n) for s in q.SIZES))
     codes = np.stack([rng.integers(0, s, 9) for s in q.SIZES], 1).astype(np.int8)
     starts = np.array([0, 4, 4, 6, 9])
@@ -80,3 +80,23 @@ def test_posteriors_equal_brute_force():
 def test_long_lines_lose_no_words():
     text = "One sentence ends here. Another one? \"Yes!\" " * 40
     assert " ".join(q.units(text)).split() == text.replace('" ', " ").split() or "".join(" ".join(q.units(text)).split()).replace('"', "") == "".join(text.split()).replace('"', "")
+
+
+def test_rules_serve_for_fitting_only(model, common, monkeypatch):
+    """Lines are labelled without them, and natural prose that looks odd stays prose: long without marks, with numbers, with stray marks."""
+    monkeypatch.setattr(q, "seed", None)
+    odd = [
+        "a new novel about the letter is expected next spring and when not writing the author likes to bury the letter and to read about the sea " * 2, "The debut was written in the winter of 1998 and it is about a man of 40 who has never seen the sea.",
+        "It's slow, it's odd, and it made me <|endoftext|> think about the empire for days.", "click to read more " * 20, "pydrwetrd ad ougagyas wweeiliy rj i qqyfu up wuipjjjqft qkhpyy",
+    ]
+    codes, _, _, starts = q._analyse(odd, common)
+    label = model.label(codes, starts)
+    assert [set(label[a:b]) == {q.PROSE} for a, b in zip(starts, starts[1:])] == [True, True, True, False, False]
+
+
+def test_long_documents_are_sampled_at_any_place(spark, common):
+    """A table that follows hundreds of lines of prose can be in the sample."""
+    rows = [(i, "\n".join([PROSE] * 300 + [TABLE] * 300)) for i in range(12)]
+    m = q.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), common, sample_lines=50)
+    codes, _, _, starts = q._analyse([TABLE], common)
+    assert set(m.label(codes, starts)) == {q.TABLE} and m.start[q.LABEL_OF == q.TABLE].sum() > 0.2
