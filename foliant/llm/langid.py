@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.classes import content_key, normal_form
@@ -28,6 +28,7 @@ from foliant.session import checkpoint, parallelism
 
 _TAGS = re.compile(r"<[^<>]{1,80}>")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\s*\n\s*|(?<=;)\s+")
+_WORD = re.compile(r"\S+")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -85,17 +86,19 @@ def clean(text: str) -> str:
     return _OTHER.sub(" ", _TAGS.sub(" ", text).lower()).strip()
 
 
-def cut(text: str, long_unit: int = 14, chunk: int = 6) -> list[str]:
-    """Sentence-like units of a text; units over ``long_unit`` words fall into chunks."""
-    out: list[str] = []
-    for part in _ENDS.split(_TAGS.sub("\n", text)):
-        words = part.split()
-        if len(words) <= long_unit:
-            if words:
-                out.append(part)
-            continue
-        n = max(1, round(len(words) / chunk))
-        out += (" ".join(words[len(words) * i // n : len(words) * (i + 1) // n]) for i in range(n))
+def cut(text: str, long_unit: int = 14, chunk: int = 6) -> list[tuple[int, int]]:
+    """Places of the sentence-like units of a text; units over ``long_unit`` words fall into chunks."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    ends = [m.span() for m in _ENDS.finditer(text)]
+    for stop, after in [*ends, (len(text), len(text))]:
+        words = [m.span() for m in _WORD.finditer(text, at, stop)]
+        n = 1 if len(words) <= long_unit else max(1, round(len(words) / chunk))
+        for i in range(n):
+            part = words[len(words) * i // n : len(words) * (i + 1) // n]
+            if part:
+                out.append((part[0][0], part[-1][1]))
+        at = after
     return out
 
 
@@ -104,21 +107,39 @@ class LanguageModel:
         self.langs = sorted(samples)
         self.machines = [SuffixAutomaton(f" {samples[lang]} ") for lang in self.langs]
         self.bits = [math.log2(max(4, m.size)) for m in self.machines]
+        self.slope = 0.05
+
+    def calibrate(self, held_out: dict[str, list[str]], words: int = 6) -> None:
+        """Fit how sure a margin in bits makes, on runs of ``words`` words of labelled texts that are in no sample: the slope with the least logarithmic loss."""
+        margins: list[tuple[float, bool]] = []
+        for lang, texts in held_out.items():
+            for text in texts:
+                run = text.split()[:words]
+                if lang in self.langs and len(self.langs) > 1 and len(run) == words:
+                    costs = self.costs(" ".join(run))
+                    low, second = sorted(costs)[:2]
+                    margins.append((second - low, costs[self.langs.index(lang)] == low))
+        if margins:
+            margins.append((sum(m for m, _ in margins) / len(margins), False))  # never quite sure
+            self.slope = min((0.01 * 1.15**i for i in range(50)), key=lambda k: sum(math.log1p(math.exp(-k * m)) if ok else math.log1p(math.exp(min(700.0, k * m))) for m, ok in margins))
 
     def costs(self, text: str) -> list[float]:
         """Cross entropy of the text by each language, in bits for the whole of it."""
         padded = f" {text} "
         return [m.phrases(padded) * b for m, b in zip(self.machines, self.bits, strict=True)]
 
-    def segments(self, text: str, change: float = 60.0) -> list[tuple[str, int, float]]:
-        """``(lang, words, confidence)`` of the runs of units in one language."""
+    def segments(self, text: str, change: float = 60.0) -> list[tuple[str, int, float, int, int]]:
+        """``(lang, words, confidence, start, stop)`` of the runs of units in one language; the confidence is the logistic of the margin to the next language."""
         if not self.langs:
             return []
-        rows = []
-        for unit in cut(text):
+        rows, places = [], []
+        flat = _TAGS.sub(lambda m: "\n".ljust(len(m[0])), text)
+        for start, stop in cut(flat):
+            unit = flat[start:stop]
             plain = clean(unit)
             if plain:
                 rows.append((self.costs(plain), plain.count(" ") + 1, _in_prose(unit)))
+                places.append((start, stop))
         if not rows:
             return []
         n = len(self.langs)
@@ -138,7 +159,7 @@ class LanguageModel:
         for step in reversed(back):
             path.append(at := step[at])
         path.reverse()
-        out: list[tuple[str, int, float]] = []
+        out: list[tuple[str, int, float, int, int]] = []
         i = 0
         while i < len(path):
             j = i
@@ -146,9 +167,9 @@ class LanguageModel:
                 j += 1
             total = [sum(rows[u][0][k] for u in range(i, j)) for k in range(n)]
             own = total[path[i]]
-            rival = min((total[k] for k in range(n) if k != path[i]), default=2 * own)
+            margin = min((total[k] for k in range(n) if k != path[i]), default=math.inf) - own
             words = sum(rows[u][1] for u in range(i, j) if rows[u][2])
-            out.append((self.langs[path[i]], words, rival / (rival + own) if own else 1.0))
+            out.append((self.langs[path[i]], words, 1 / (1 + math.exp(-self.slope * max(0.0, margin))), places[i][0], places[j - 1][1]))
             i = j
         return out
 
@@ -165,11 +186,12 @@ def _in_prose(unit: str) -> bool:
 _MODELS: dict[int, LanguageModel] = {}
 
 
-def _model(samples: dict[str, str]) -> LanguageModel:
-    key = hash(tuple(sorted(samples.items())))
+def _model(samples: dict[str, str], slope: float) -> LanguageModel:
+    key = hash((slope, *sorted(samples.items())))
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = LanguageModel(samples)
+        _MODELS[key].slope = slope
     return _MODELS[key]
 
 
@@ -192,16 +214,19 @@ def named_languages(languages: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.isNotNull()))), F.array().cast("array<string>"))
 
 
-def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400, letters: int = 30_000) -> dict[str, str]:
+def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400, letters: int = 30_000, held_out: dict[str, list[str]] | None = None, most: int = 20_000) -> dict[str, str]:
     """Up to ``texts`` texts and ``letters`` letters of each language, from ``(text, lang)`` with lowest hashes.
 
     A text counts only if the common words of its labelled language outnumber those of
-    every other one in it (where the language has any in the table).
+    every other one in it (where the language has any in the table). Texts beyond the
+    letters go to ``held_out``. The table of common words is refused beyond ``most`` rows.
     """
     common: dict[str, set[str]] = {}
-    for word, lang in stopwords.select(F.lower("word"), "lang").where("word is not null and lang is not null").limit(20_000).collect():
+    words = stopwords.select(F.lower("word"), "lang").where("word is not null and lang is not null").limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"more than {most} common words")
+    for word, lang in words:
         common.setdefault(lang, set()).add(word)
-    from pyspark.sql import Window
 
     # the hash is salted over a fixed number of parts, so that no language's rows meet in one task
     order = F.xxhash64("text")
@@ -219,8 +244,10 @@ def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400
     out = {}
     for lang, plain in by_lang.items():
         kept, size = [], 0
-        for text in plain:
+        for number, text in enumerate(plain):
             if size and size + len(text) + 1 > letters:
+                if held_out is not None:
+                    held_out[lang] = plain[number:]
                 break
             kept.append(text[:letters])
             size += len(text) + 1
@@ -229,41 +256,63 @@ def training_samples(labelled: DataFrame, stopwords: DataFrame, texts: int = 400
 
 
 SEGMENTS = "seg_no bigint, lang string, words bigint, confidence double, unnamed boolean"
+RUNS = "seg_no bigint, start bigint, stop bigint, lang string, words bigint, confidence double"
 
 
-def segment_languages(df: DataFrame, samples: dict[str, str], id_col: str = "id", texts: str = "descriptions", named: str = "named", least_words: int = 5) -> DataFrame:
-    """``(id, seg_no, lang, words, confidence, unnamed)``: languages of the elements of an array of texts.
-
-    ``unnamed`` says that the row's array ``named`` lacks one of the languages of its
-    elements. One pass without a shuffle.
-    """
+def _by_row(df: DataFrame, id_col: str, texts: str, named: str, schema: str, samples: dict[str, str], slope: float, rows_of: Callable[[LanguageModel, list, list], list[tuple]]) -> DataFrame:
+    """The rows that ``rows_of`` (model, elements, names) makes of each row; one pass without a shuffle."""
     kind = dict(df.dtypes)[id_col]
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples)
+        model = _model(samples, slope)
         for batch in batches:
-            rows: list[tuple] = []
-            for i, (elements, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own: list[tuple] = []
-                for number, text in enumerate(elements or []):
-                    if text is None or len(text.split()) < least_words:
-                        continue
-                    found: dict[str, list[float]] = {}
-                    for lang, words, confidence in model.segments(text):
-                        entry = found.setdefault(lang, [0, 0, 0.0])
-                        entry[0] = max(entry[0], words)
-                        entry[1] += words
-                        entry[2] += words * confidence
-                    for lang, (longest, words, weight) in found.items():
-                        if longest >= least_words or len(found) == 1:
-                            own.append((i, number, lang, words, weight / words if words else 0.5))
-                unnamed = not {r[2] for r in own} <= set(names or [])
-                rows += ((*r, unnamed) for r in own)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=[id_col, *(c.split()[0] for c in SEGMENTS.split(", "))])
-
-    return df.select(id_col, texts, named).mapInArrow(run, f"`{id_col}` {kind}, {SEGMENTS}")
+            at, rows = [], []
+            for i, (elements, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = rows_of(model, elements or [], known or [])
+                rows += own
+                at += [i] * len(own)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, *names])
+
+    return df.select(id_col, texts, named).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+
+
+def segment_languages(df: DataFrame, samples: dict[str, str], id_col: str = "id", texts: str = "descriptions", named: str = "named", least_words: int = 5, slope: float = 0.05) -> DataFrame:
+    """``(id, seg_no, lang, words, confidence, unnamed)``: languages of the elements of an array of texts.
+
+    ``unnamed`` says that the row's array ``named`` lacks one of the languages of its elements.
+    """
+
+    def rows_of(model: LanguageModel, elements: list, known: list) -> list[tuple]:
+        own: list[tuple] = []
+        for number, text in enumerate(elements):
+            if text is None or len(text.split()) < least_words:
+                continue
+            found: dict[str, list[float]] = {}
+            for lang, words, confidence, _, _ in model.segments(text):
+                entry = found.setdefault(lang, [0, 0, 0.0])
+                entry[0] = max(entry[0], words)
+                entry[1] += words
+                entry[2] += words * confidence
+            for lang, (longest, words, weight) in found.items():
+                if longest >= least_words or len(found) == 1:
+                    own.append((number, lang, words, weight / words if words else 0.5))
+        unnamed = not {r[1] for r in own} <= set(known)
+        return [(*r, unnamed) for r in own]
+
+    return _by_row(df, id_col, texts, named, SEGMENTS, samples, slope, rows_of)
+
+
+def segment_runs(df: DataFrame, samples: dict[str, str], id_col: str = "id", texts: str = "descriptions", named: str = "named", least_words: int = 5, slope: float = 0.05) -> DataFrame:
+    """``(id, seg_no, start, stop, lang, words, confidence)``: every run of one language in the elements, as places of characters; short runs too."""
+
+    def rows_of(model: LanguageModel, elements: list, known: list) -> list[tuple]:
+        long = ((number, text) for number, text in enumerate(elements) if text is not None and len(text.split()) >= least_words)
+        return [(number, start, stop, lang, words, confidence) for number, text in long for lang, words, confidence, start, stop in model.segments(text)]
+
+    return _by_row(df, id_col, texts, named, RUNS, samples, slope, rows_of)
 
 
 def once_per_id(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
@@ -271,10 +320,11 @@ def once_per_id(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFr
     return keyed.groupBy("id").agg(F.min_by(F.struct(*columns), "_key").alias("r")).select("id", "r.*")
 
 
-def record_languages(df: DataFrame, language_names: DataFrame, stopwords: DataFrame, books: DataFrame | None = None, least_words: int = 5) -> DataFrame:
-    """``(id, seg_no, lang, words, confidence, unnamed)`` of records, held against the codes that the record's labels stand for.
+def record_languages(df: DataFrame, language_names: DataFrame, stopwords: DataFrame, books: DataFrame | None = None, least_words: int = 5, runs: bool = False) -> DataFrame:
+    """``(id, seg_no, lang, words, confidence, unnamed)`` of records, held against the codes that the record's labels stand for; or their ``segment_runs``.
 
-    Samples come from records and ``books`` that name just one language.
+    Samples come from records and ``books`` that name just one language; the
+    confidence is calibrated on texts of these that are in no sample.
     """
     labels = label_map(language_names)
     once = once_per_id(df, ["descriptions", "languages"])
@@ -283,8 +333,11 @@ def record_languages(df: DataFrame, language_names: DataFrame, stopwords: DataFr
     if books is not None:
         known = _as_map(labels)
         labelled = labelled.unionByName(books.select(F.col("description").alias("text"), F.try_element_at(known, normal_form(F.col("languages"))).alias("lang")))
-    samples = training_samples(labelled, stopwords)
-    return segment_languages(records, samples, least_words=least_words)
+    held_out: dict[str, list[str]] = {}
+    samples = training_samples(labelled, stopwords, held_out=held_out)
+    model = LanguageModel(samples)
+    model.calibrate(held_out)
+    return (segment_runs if runs else segment_languages)(records, samples, least_words=least_words, slope=model.slope)
 
 
 def mislabelled(languages: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 An item has three sizes: tokens, segments (1) and loss-bearing tokens, those after
 its first line (of a text with one line, all). A container has a limit on each. An
 item is cut only if it exceeds the capacity itself; the pieces before its last one
-are as large as fits and fill a container each.
+are as large as fits and fill a container each. A piece that alone has more
+loss-bearing tokens than the limit is not cut for that; it stands in a container
+alone, the only ones beyond that limit.
 
 The pieces are spread over blocks by a hash, so that a block holds a bounded number
 of them whatever the data. A block fills one container after the other: of the
@@ -95,12 +97,11 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return df.select(id_col, F.monotonically_increasing_id().alias("row"), text_col).mapInArrow(run, f"`{id_col}` {kind}, row bigint, tokens bigint, head bigint")
 
 
-def pieces(sizes: DataFrame, capacity: int, loss_limit: int, id_col: str = "doc_id") -> DataFrame:
+def pieces(sizes: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """One row for each piece: ``piece``, ``first_token``, ``tokens`` and ``loss``."""
-    most = min(capacity, loss_limit) if loss_limit < capacity else capacity
-    cut = (F.col("tokens") > capacity) | (F.col("tokens") - F.col("head") > loss_limit)
-    count = F.when(cut, F.ceil(F.col("tokens") / most)).otherwise(1).cast("int")
-    step = F.when(cut, F.lit(most)).otherwise(F.col("tokens"))
+    cut = F.col("tokens") > capacity
+    count = F.when(cut, F.ceil(F.col("tokens") / capacity)).otherwise(1).cast("int")
+    step = F.when(cut, F.lit(capacity)).otherwise(F.col("tokens"))
     out = sizes.where("tokens > 0").withColumn("_step", step).withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     first = F.col("piece") * F.col("_step")
     last = F.least(first + F.col("_step"), "tokens")
@@ -108,14 +109,16 @@ def pieces(sizes: DataFrame, capacity: int, loss_limit: int, id_col: str = "doc_
 
 
 def _round(parts: DataFrame, blocks: int, number: int, capacity: int, segments: int, loss_limit: int, id_col: str) -> DataFrame:
-    """Pieces with ``block``, ``slot`` (container in the block), ``position`` in it and ``fill`` (tokens of that container)."""
+    """Pieces with ``block``, ``slot`` (container in the block), ``position`` in it and ``fill`` (of that container)."""
     keyed = parts.withColumn("block", F.pmod(F.xxhash64("row", "piece", F.lit(number)), F.lit(blocks)))
     schema = f"{', '.join(f'`{c}` {t}' for c, t in keyed.dtypes)}, slot bigint, position bigint, fill bigint"
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "loss", "row", "piece"], ascending=[False, False, True, True])
         slot = pack_block(group["tokens"].to_numpy(), group["loss"].to_numpy(), capacity, segments, loss_limit)
-        return group.assign(slot=slot, position=pd.Series(slot).groupby(slot).cumcount().to_numpy(np.int64), fill=np.bincount(slot, group["tokens"]).astype(np.int64)[slot])
+        # the fuller of the sizes in tokens, as tokens of the capacity; one that is full in segments may find larger pieces yet
+        fill = np.maximum(np.bincount(slot, group["tokens"]) / capacity, np.bincount(slot, group["loss"]) / max(1, loss_limit))
+        return group.assign(slot=slot, position=pd.Series(slot).groupby(slot).cumcount().to_numpy(np.int64), fill=(fill * capacity).astype(np.int64)[slot])
 
     return keyed.groupBy("block").applyInPandas(pack, schema)
 
@@ -127,12 +130,13 @@ def pack_texts(
     """``(id, piece, first_token, tokens, loss, container, position)`` of every item's pieces.
 
     ``container`` is a string; ``position`` is the piece's place in it, from 0.
-    ``loss_limit`` is the capacity unless given.
+    ``loss_limit`` is the capacity unless given. A container counts as full if it is
+    ``full`` in tokens or loss-bearing tokens.
     """
     loss_limit = capacity if loss_limit is None else loss_limit
     sizes = checkpoint(measure(df, id_col, text_col, vocabulary, folder))
-    parts = pieces(sizes, capacity, loss_limit, id_col)
-    whole = F.col("tokens") >= full * capacity
+    parts = pieces(sizes, capacity, id_col)
+    whole = (F.col("tokens") >= full * capacity) | (F.col("loss") > loss_limit)
     alone = parts.where(whole).withColumns({"container": F.concat_ws("-", F.lit("w"), "row", "piece"), "position": F.lit(0).cast("bigint")})
     rest = parts.where(~whole)
     n = rest.count()
@@ -158,3 +162,14 @@ def pack_texts(
         out = out.unionByName(part)
     empty = sizes.where("tokens = 0").select(id_col, F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("first_token"), "tokens", F.lit(0).cast("bigint").alias("loss"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("position"))
     return out.select(*empty.columns).unionByName(empty)
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None) -> DataFrame:
+    """``(containers, pieces, tokens, tokens_full, segments_full, loss_full)``: one row; shares of what the containers could hold, null without any."""
+    each = packed.where("container is not null").groupBy("container").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("loss").alias("l"))
+    total = each.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("l").alias("l"))
+    share = lambda part, most: F.try_divide(F.col(part), F.col("c") * most)
+    return total.select(
+        F.col("c").alias("containers"), F.coalesce("n", F.lit(0)).alias("pieces"), F.coalesce("t", F.lit(0)).alias("tokens"),
+        share("t", capacity).alias("tokens_full"), share("n", segments).alias("segments_full"), share("l", capacity if loss_limit is None else loss_limit).alias("loss_full"),
+    )

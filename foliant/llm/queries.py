@@ -63,14 +63,40 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.mislabelled(langid.record_languages(*tables))
 
 
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("lshfakedata", "language_names", "stopwords", "books_csv"))
+    return langid.record_languages(*tables, runs=True)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text decoded from its ids again; null texts come back empty."""
+    return tokenizer.decode_texts(p6_ids(spark, sf_dir))
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
 
 
+#: A limit on loss-bearing tokens that binds before the capacity does.
+LOSS_LIMIT = 1_536
+
+
+def p7_pack_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p7_pack, with at most 1,536 loss-bearing tokens in a container of more than one piece."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"), loss_limit=LOSS_LIMIT)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full both packings are in tokens, segments and loss-bearing tokens."""
+    both = ((None, p7_pack(spark, sf_dir)), (LOSS_LIMIT, p7_pack_loss(spark, sf_dir)))
+    plain, bound = (packing.fill(packed, loss_limit=limit).withColumn("loss_limit", F.lit(limit or packing.CAPACITY)) for limit, packed in both)
+    return plain.unionByName(bound)
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     common = quality.common_words(table(spark, sf_dir, "stopwords"))
@@ -82,7 +108,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_search": p1_search, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_languages": p5_languages, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_search": p1_search, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_pack_loss": p7_pack_loss, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 _WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -98,6 +124,7 @@ n AS (SELECT x, y FROM s WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY
 SELECT DISTINCT least(x, y) AS bookid_a, greatest(x, y) AS bookid_b FROM n""",
     "p2_found": f"""WITH s AS (SELECT DISTINCT id, {_SET.replace('{c}', 'characters')} AS ch, {_SET.replace('{c}', 'genres')} AS ge FROM lshfakedata WHERE id IS NOT NULL)
 SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id WHERE len(a.ch) > 0 AND len(b.ch) > 0 AND len(a.ge) > 0 AND len(b.ge) > 0 AND {_JACCARD.format(c='ch')} >= 0.6 AND {_JACCARD.format(c='ge')} >= 0.5""",
+    "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": f"""WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(array_to_string(descriptions, ' '), '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM lshfakedata WHERE id IS NOT NULL),
 s AS (SELECT id, list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) AS p FROM t WHERE len(w) > 20)
 SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id WHERE len(a.p) >= 20 AND len(b.p) >= 20 AND {_JACCARD.format(c='p')} >= 0.6""",

@@ -82,3 +82,44 @@ def test_long_and_odd_texts():
     model = li.LanguageModel({"en": li.clean(EN), "fr": li.clean(FR)})
     assert model.segments("") == [] and model.segments("12 34 !!!") == [] and li.LanguageModel({}).segments(EN) == []
     assert model.segments((EN + " ") * 500)[0][0] == "en"
+
+
+def test_places_of_segments(spark, inputs):
+    """Runs cover the words of an element in order, and their places cut out text of one language."""
+    mixed = f"<b>{EN}</b>\n{FR}\n\n{DE}"
+    out = li.record_languages(spark.createDataFrame([("t1", [mixed, None, "", EN], ["English"]), ("t2", None, None)], "id string, descriptions array<string>, languages array<string>").unionByName(table(spark, "/root/testdata/sf0.01", "lshfakedata").select("id", "descriptions", "languages")), *inputs, runs=True)
+    got = sorted(tuple(r) for r in out.where("id like 't_'").collect())
+    assert [(r[1], r[4]) for r in got] == [(0, "en"), (0, "fr"), (0, "de"), (3, "en")]
+    assert [mixed[r[2] : r[3]] for r in got[:3]] == [EN, FR, DE] and EN[got[3][2] : got[3][3]] == EN
+    assert all(0.5 <= r[6] <= 1 for r in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab .;!\n\u00a0<", max_size=80))
+def test_units_hold_every_word(text):
+    places = li.cut(text)
+    assert all(a < b for a, b in places) and all(p[1] <= q[0] for p, q in zip(places, places[1:]))
+    assert "".join(text[a:b] for a, b in places).split() == [] or "".join("".join(text[a:b].split()) for a, b in places) == "".join(w for part in li._ENDS.split(text) for w in part.split())
+
+
+def test_confidence_is_calibrated(spark, inputs):
+    """On texts that neither the samples nor the calibration saw, runs of six words: what is said to be sure at p is right in about p of cases."""
+    labels = li.label_map(inputs[0])
+    labelled = inputs[2].select(F.col("description").alias("text"), F.try_element_at(li._as_map(labels), li.normal_form(F.col("languages"))).alias("lang"))
+    held = {}
+    model = li.LanguageModel(li.training_samples(labelled, inputs[1], letters=3_000, held_out=held))
+    model.calibrate({k: v[::2] for k, v in held.items()})
+    said, right = [], []
+    for lang, texts in held.items():
+        for text in texts[1::2]:
+            run = " ".join(text.split()[6:12])
+            found = max(model.segments(run), key=lambda s: s[1], default=None)
+            if found:
+                said.append(found[2])
+                right.append(found[0] == lang)
+    assert len(said) > 50 and abs(sum(said) / len(said) - sum(right) / len(right)) < 0.1
+
+
+def test_large_tables_of_common_words_are_refused(spark, inputs):
+    with pytest.raises(ValueError, match="common words"):
+        li.training_samples(inputs[2].selectExpr("description text", "'en' lang"), inputs[1], most=5)

@@ -73,3 +73,41 @@ def test_whole_documents_leave_little_room(spark, sf):
     n, total, most = fill.agg(F.count("*"), F.sum("t"), F.max("t")).first()
     assert most <= packing.CAPACITY and total / (n * packing.CAPACITY) > 0.97
     assert out.groupBy("container").count().agg(F.max("count")).first()[0] <= packing.SEGMENTS
+
+
+def test_a_limit_on_loss_cuts_nothing_below_the_capacity(spark):
+    """Containers of several pieces keep all three limits; a piece beyond the limit on loss stands alone and whole."""
+    texts = ["word " * n for n in (5, 9, 12, 20, 31, 40, 55, 60, 63, 70, 150)] + ["head " * 30 + "\nbody " * 10] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = packing.pack_texts(df, capacity=64, segments=3, loss_limit=40).collect()
+    m = tokenizer.machine()
+    by = check(got, {i: [len(m.encode(t))] for i, t in enumerate(texts)}, 64, 3)
+    for items in by.values():
+        assert sum(r.loss for r in items) <= 40 or len(items) == 1
+    assert any(len(items) == 1 and items[0].loss > 40 for items in by.values())
+    row = packing.fill(spark.createDataFrame(got), 64, 3, 40).first()
+    assert row.containers == len(by) and row.tokens == sum(r.tokens for r in got) and 0 < row.segments_full <= 1 and row.tokens_full == row.tokens / (64 * len(by))
+    assert packing.fill(packing.pack_texts(df.limit(0)), 64).first().containers == 0
+
+
+def first_fit_decreasing(tokens, loss, capacity, segments, loss_limit):
+    """Containers needed by the plainest heuristic that keeps the same limits."""
+    left = []
+    for t, x in sorted(zip(tokens.tolist(), loss.tolist()), reverse=True):
+        for c in left:
+            if c[0] >= t and c[1] >= 1 and c[2] >= x:
+                break
+        else:
+            left.append(c := [capacity, segments, loss_limit])
+        c[0], c[1], c[2] = c[0] - t, c[1] - 1, c[2] - x
+    return len(left)
+
+
+def test_no_more_containers_than_first_fit_decreasing():
+    """Where all three limits bind, the dot product needs at most as many containers, within one in fifty."""
+    rng = np.random.default_rng(4)
+    for loss_share in (0.3, 0.6, 1.0):
+        tokens = np.minimum(2_000, rng.lognormal(5, 1.1, 1_500).astype(int) + 1)
+        loss = np.minimum((tokens * rng.uniform(0, 2 * loss_share, len(tokens))).astype(int), np.minimum(tokens, 1_200))
+        ours = packing.pack_block(tokens, loss, 2_048, 12, 1_200).max() + 1
+        assert ours <= 1.02 * first_fit_decreasing(tokens, loss, 2_048, 12, 1_200)
