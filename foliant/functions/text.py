@@ -14,6 +14,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOP_WORDS = ("this", "that", "about", "whom", "being", "where", "why", "had", "should", "each")
 
 SPACES = r"[ \t\r\n]+"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -76,15 +77,15 @@ def list_items(cell: Column) -> Column:
 
 
 def guarded_int(cell: Column) -> Column:
-    """Digits as a number, anything else 0."""
+    """Digits as a number of 64 bits, anything else (a sign or a larger number too) 0."""
     value = F.trim(F.coalesce(cell, F.lit("")))
-    return F.when(value.rlike("^[0-9]{1,9}$"), F.try_to_number(value, F.lit("999999999")).cast("int")).otherwise(F.lit(0))
+    return F.coalesce(F.when(value.rlike("^[0-9]+$"), value.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def guarded_float(cell: Column) -> Column:
-    """A number, a blank cell or text 0.0."""
+    """A finite decimal number, also with a sign, an exponent or a bare point; a blank cell or text 0.0."""
     value = F.trim(F.coalesce(cell, F.lit("")))
-    return F.when(value.rlike(r"^[0-9]+(\.[0-9]+)?$"), value.try_cast("double")).otherwise(F.lit(0.0))
+    return F.coalesce(F.when(value.rlike(NUMBER), value.try_cast("double")), F.lit(0.0))
 
 
 def shorten(text: Column, n: int = 35) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import vectors as V
-from foliant.session import checkpoint, parallelism
+from foliant.operators.features import numbered
+from foliant.operators.graph import components
+from foliant.session import checkpoint, merging, parallelism
 
 
 def _points(data: DataFrame, id_col: str, vector: str, spherical: bool) -> DataFrame:
@@ -66,27 +68,22 @@ def kmeans(data: DataFrame, k: int = 20, seed: int = 43, id_col: str = "vec_id",
 def dbscan(data: DataFrame, eps: float = 0.35, min_samples: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(id, cluster)`` by cosine distance: clusters numbered by their smallest core, -1 for noise.
 
-    A point counts among its own neighbours; a border point goes to the lowest cluster that reaches it.
+    A point counts among its own neighbours; a border point goes to the lowest cluster
+    that reaches it. Pairs of near points are counted, and then joined to groups, block
+    by block; they are never listed.
     """
-    near = checkpoint(V.within_angle(data, 1 - eps, id_col, vector))
-    ids = data.select(F.col(id_col).alias("id"))
-    core = ids.join(near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
-    edges = checkpoint(near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
-    label = checkpoint(core.select("id", F.col("id").alias("low")))
-    for _ in range(200):
-        heard = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("low").alias("m"))
-        nearer = label.join(heard, label["id"] == heard["a"], "left").select("id", F.least("low", F.coalesce("m", "low")).alias("low"))
-        jump = nearer.select(F.col("id").alias("low"), F.col("low").alias("low2"))
-        nxt = checkpoint(nearer.join(jump, "low").select("id", F.least("low", "low2").alias("low")))
-        moved = nxt.join(label.withColumnRenamed("low", "old"), "id").where("low <> old").limit(1).count()
-        label = nxt
-        if not moved:
-            break
+    rows = data.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    n = V.neighbour_counts(rows, 1 - eps, "id", "v").withColumnRenamed("a", "id")
+    flagged = checkpoint(merging(rows, n, "id", "left").select("id", "v", (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")))
+    links = checkpoint(V.forest(flagged, "core", 1 - eps, "id", "v"))
+    heads = components(links.where("not border")).withColumnRenamed("node", "id")
+    label = checkpoint(merging(flagged.where("core").select("id"), heads, "id", "left").select("id", F.coalesce("head", "id").alias("low")))
     # numbers follow the smallest core: places among the distinct labels
-    numbers = label.select("low").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("low")) - 1).cast("bigint"))
-    inner = label.join(numbers, "low").select("id", "cluster")
-    reached = near.join(inner.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("reach"))
-    return ids.join(inner, "id", "left").join(reached, "id", "left").select("id", F.coalesce("cluster", "reach", F.lit(-1).cast("bigint")).alias("cluster"))
+    numbers = numbered(label.select("low").distinct(), "low", "cluster")
+    inner = checkpoint(merging(label, numbers, "low").select("id", "cluster"))
+    reached = merging(links.where("border"), inner.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("reach"))
+    ids = flagged.select("id")
+    return merging(merging(ids, inner, "id", "left"), reached, "id", "left").select("id", F.coalesce("cluster", "reach", F.lit(-1).cast("bigint")).alias("cluster"))
 
 
 def dbscan_summary(clusters: DataFrame, most_noise: float = 0.5) -> DataFrame:
@@ -177,19 +174,21 @@ def quality(labelled: DataFrame) -> DataFrame:
     )
 
 
-def silhouette(labelled: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """``(cluster, points, silhouette)`` by cosine distance.
+def silhouette(labelled: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", squared: bool = False) -> DataFrame:
+    """``(cluster, points, silhouette)`` by cosine distance, or by the square of the euclidean one.
 
-    Mean cosine distances to a cluster follow from the sum of its unit vectors, so
-    that no pair of rows is formed. A cluster of one has silhouette 0.
+    Mean distances of both kinds to a cluster follow from the sum of its vectors (and of
+    their squares), so that no pair of rows is formed. A cluster of one has silhouette 0.
     """
-    points = labelled.select(F.col(id_col).alias("id"), F.col(label).alias("cluster"), V.unit(V.doubles(F.col(vector))).alias("v"))
+    v = V.doubles(F.col(vector))
+    points = labelled.select(F.col(id_col).alias("id"), F.col(label).alias("cluster"), (v if squared else V.unit(v)).alias("v"))
     cells = points.select("cluster", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("s"))
     sums = cells.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l")).select("cluster", F.transform("l", lambda p: p["s"]).alias("s"))
-    sums = sums.join(points.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    every = sums.agg(F.collect_list(F.struct("cluster", "s", "n")).alias("_all"))
-    far = points.crossJoin(F.broadcast(every))
-    distance = lambda c: F.when(c["cluster"] == F.col("cluster"), F.try_divide(c["n"] - V.dot(F.col("v"), c["s"]), c["n"] - 1)).otherwise((c["n"] - V.dot(F.col("v"), c["s"])) / c["n"])
+    sums = sums.join(points.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(V.dot(F.col("v"), F.col("v"))).alias("q")), "cluster")
+    every = sums.agg(F.collect_list(F.struct("cluster", "s", "n", "q")).alias("_all"))
+    far = points.crossJoin(F.broadcast(every)).withColumn("vv", V.dot(F.col("v"), F.col("v")))
+    total = (lambda c: c["n"] * F.col("vv") + c["q"] - 2 * V.dot(F.col("v"), c["s"])) if squared else (lambda c: c["n"] - V.dot(F.col("v"), c["s"]))
+    distance = lambda c: F.when(c["cluster"] == F.col("cluster"), F.try_divide(total(c), c["n"] - 1)).otherwise(total(c) / c["n"])
     met = far.select("cluster", F.transform("_all", lambda c: F.struct((c["cluster"] == F.col("cluster")).alias("own"), distance(c).alias("d"))).alias("_d"))
     a = F.filter("_d", lambda x: x["own"])[0]["d"]
     b = F.array_min(F.transform(F.filter("_d", lambda x: ~x["own"]), lambda x: x["d"]))
@@ -197,6 +196,47 @@ def silhouette(labelled: DataFrame, id_col: str = "vec_id", vector: str = "embed
     return width.groupBy("cluster").agg(F.count("*").alias("points"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 
+def silhouette_euclidean(labelled: DataFrame, query: str, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 2_048) -> DataFrame:
+    """``(id, cluster, silhouette)`` by euclidean distance, of the rows that the condition ``query`` picks, against all rows in blocks.
+
+    Sums of euclidean distances do not follow from sums of vectors; each block of rows
+    is one matrix product with each block of queries, which leaves a sum for a query and a cluster.
+    """
+    kind, cluster = dict(labelled.dtypes)[id_col], dict(labelled.dtypes)[label]
+    rows = checkpoint(labelled.select(F.col(id_col).alias("id"), F.col(label).alias("cluster"), V.doubles(F.col(vector)).alias("v"), F.expr(query).alias("asked")).where("v is not null and cluster is not null"))
+    asked = rows.where("asked")
+    nq, nd = (max(1, -(-df.count() // block)) for df in (asked, rows))
+    q = asked.select("id", "cluster", "v", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1)).cast("array<bigint>")).alias("db"))
+    d = rows.select("id", "cluster", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nd)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")).alias("qb"))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("id", "own", "cluster", "s", "n")})
+        x, y = (np.stack(df["v"].to_numpy()).astype(float) for df in (left, right))
+        apart = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+        same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        apart[same] = 0
+        parts = []
+        for value, at in right.groupby("cluster").indices.items():
+            parts.append(pd.DataFrame({"id": left["id"], "own": left["cluster"], "cluster": value, "s": apart[:, at].sum(1), "n": len(at) - same[:, at].sum(1)}))
+        return pd.concat(parts)
+
+    met = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(sums, f"id {kind}, own {cluster}, cluster {cluster}, s double, n bigint")
+    mean = met.groupBy("id", "own", "cluster").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
+    ab = mean.groupBy("id", "own").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("d"))).alias("b"))
+    width = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
+    return ab.select("id", F.col("own").alias("cluster"), F.round(width, 6).alias("silhouette"))
+
+
+def representatives(labelled: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """``(cluster, rank, id, similarity)``: the ``k`` rows of each cluster nearest by cosine to the sum of its unit vectors, the smaller id first of several."""
+    points = labelled.select(F.col(id_col).alias("id"), F.col(label).alias("cluster"), V.unit(V.doubles(F.col(vector))).alias("v"))
+    centre = recentre(points, spherical=True).withColumnRenamed("c", "centre")
+    near = points.join(centre, "cluster").select("cluster", "id", F.round(V.dot(F.col("v"), F.col("centre")), 6).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("cluster", "rank", "id", "similarity")
+
+
 def pca_2d(data: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(id, x, y)``: the two first principal components of the centred rows; signs are arbitrary."""
     rows = data.select(F.col(id_col).alias("id"), array_to_vector(V.doubles(F.col(vector))).alias("f"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import checkpoint, parallelism
 
 #: Target genres by priority.
 TARGET_GENRES = (
@@ -60,11 +61,20 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(*(x for x in df.columns if x not in columns), *(((F.col(c) - F.col(f"_m_{c}")) / deviation(c)).alias(c) for c in columns))
 
 
-def encode_labels(df: DataFrame, column: str = "label", most: int = 100_000) -> DataFrame:
-    """``df`` with ``label_id``: the place of the label among the sorted distinct ones, from 0; null stays null."""
-    labels = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most)
-    ids = labels.withColumn("label_id", (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))
-    return df.join(ids, column, "left")
+def numbered(values: DataFrame, column: str, number: str) -> DataFrame:
+    """``values`` with the place of each in the order of ``column``, from 0: ranges are numbered apart and put together by their sizes, so that no task sorts all."""
+    parts = 2 * parallelism(values.sparkSession)
+    placed = checkpoint(values.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # at most ``parts`` rows
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    return placed.withColumn("_r", inner).join(F.broadcast(starts), "_p").withColumn(number, (F.col("_s") + F.col("_r")).cast("bigint")).drop("_p", "_r", "_s")
+
+
+def encode_labels(df: DataFrame, column: str = "label") -> DataFrame:
+    """``df`` with ``label_id``: the place of the label among the sorted distinct ones, from 0; null stays null. Any number of labels."""
+    labels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return df.join(numbered(labels, column, "label_id"), column, "left")
 
 
 def main_genre(cell: Column) -> Column:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import stemming
 from foliant.functions import text as T
 
 #: Sizes of the first and second tier by field.
 TIERS = {"characters": (3, 2), "description": (10, 5), "genres": (1, 0)}
 
 
-def tokens(corpus: DataFrame, stop: list[str]) -> DataFrame:
-    """``(doc_id, field, term)``, one row for each token."""
-    return corpus.select("doc_id", "field", F.explode(T.analyse(F.col("text"))).alias("term")).where(~F.col("term").isin(stop))
+Analyser = Callable[[Column], Column]
 
 
-def postings(corpus: DataFrame, stop: list[str]) -> DataFrame:
-    return tokens(corpus, stop).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+def tokens(corpus: DataFrame, stop: list[str], analyser: Analyser = T.analyse) -> DataFrame:
+    """``(doc_id, field, term)``, one row for each token that ``analyser`` makes of a text."""
+    return corpus.select("doc_id", "field", F.explode(analyser(F.col("text"))).alias("term")).where(~F.col("term").isin(stop))
+
+
+def stemmed(postings: DataFrame) -> DataFrame:
+    """Postings by stem: each distinct term is stemmed once, and what falls together is summed."""
+    stems = stemming.stem_terms(postings)
+    keys = [c for c in postings.columns if c not in ("term", "tf")]
+    return postings.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf")).select(postings.columns)
+
+
+def postings(corpus: DataFrame, stop: list[str], analyser: Analyser = T.analyse, stem: bool = False) -> DataFrame:
+    """``(field, term, doc_id, tf)``; with ``stem`` of stems in place of words (stop words are words)."""
+    counted = tokens(corpus, stop, analyser).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+    return stemmed(counted) if stem else counted
 
 
 def doc_lengths(postings: DataFrame) -> DataFrame:
@@ -50,9 +65,11 @@ def tiered(postings: DataFrame, quality: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("field", "term").orderBy(F.desc("_g"), "doc_id"))
     first = F.create_map(*(F.lit(x) for f, (a, _) in TIERS.items() for x in (f, a)))
     second = F.create_map(*(F.lit(x) for f, (a, b) in TIERS.items() for x in (f, a + b)))
-    ranked = graded.withColumn("_r", rank)
-    tier = F.when(F.col("_r") <= first[F.col("field")], 1).when(F.col("_r") <= second[F.col("field")], 2).otherwise(3)
-    return ranked.select("field", "term", "doc_id", "tf", tier.cast("bigint").alias("tier"))
+    # a bounded number of places a term: tasks drop the rest of a common term's list before it is brought together
+    top = graded.withColumn("_r", rank).where(F.col("_r") <= max(a + b for a, b in TIERS.values()))
+    tier = F.when(F.col("_r") <= first[F.col("field")], 1).when(F.col("_r") <= second[F.col("field")], 2)
+    placed = top.select("field", "term", "doc_id", tier.cast("bigint").alias("tier")).where("tier is not null")
+    return postings.join(placed, ["field", "term", "doc_id"], "left").select("field", "term", "doc_id", "tf", F.coalesce("tier", F.lit(3).cast("bigint")).alias("tier"))
 
 
 def add_documents(postings: DataFrame, corpus: DataFrame, stop: list[str]) -> DataFrame:
@@ -78,11 +95,12 @@ def same_index(a: DataFrame, b: DataFrame) -> bool:
 
 
 def store(postings: DataFrame, path: str, field: str | None = None) -> None:
-    """One folder for each field (and tier); ``field`` restricts to one."""
+    """One folder for each field (and tier), sorted by term, so that a search reads few row groups; ``field`` restricts to one."""
     if field is not None and field not in TIERS:
         raise ValueError(f"no index named {field}")
     parts = ["field", "tier"] if "tier" in postings.columns else ["field"]
-    (postings if field is None else postings.where(F.col("field") == field)).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    rows = postings if field is None else postings.where(F.col("field") == field)
+    rows.repartitionByRange(*parts, "term").sortWithinPartitions(*parts, "term").write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def load(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
@@ -91,24 +109,76 @@ def load(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
     return df if field is None else df.where(F.col("field") == field)
 
 
+#: Names of the tables of a stored index: postings with their tiers, counts of terms, lengths and norms of documents, and the metadata of the fields.
+TABLES = ("postings", "terms", "lengths", "metadata")
+
+
 @dataclass
 class Index:
-    """The tables that ranking needs."""
+    """The tables that ranking needs; what is not given follows from the postings."""
 
     postings: DataFrame
     n_docs: DataFrame
+    stored: dict[str, DataFrame] = dataclass_field(default_factory=dict)
 
     @classmethod
-    def build(cls, corpus: DataFrame, stop: list[str]) -> Index:
-        return cls(postings(corpus, stop), corpus.agg(F.countDistinct("doc_id").alias("n_docs")))
+    def build(cls, corpus: DataFrame, stop: list[str], analyser: Analyser = T.analyse, stem: bool = False) -> Index:
+        return cls(postings(corpus, stop, analyser, stem), corpus.agg(F.countDistinct("doc_id").alias("n_docs")))
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, field: str | None = None) -> Index:
+        """An index as ``save`` wrote it; one field reads one folder of each table."""
+        stored = {name: load(spark, f"{path}/{name}", field) for name in TABLES}
+        return cls(stored["postings"].select("field", "term", "doc_id", "tf"), spark.read.parquet(f"{path}/n_docs"), stored)
+
+    def save(self, path: str, quality: DataFrame) -> None:
+        """All tables of the index below ``path``, each computed once."""
+        store(tiered(self.postings, quality), f"{path}/postings")
+        self.n_docs.write.mode("overwrite").parquet(f"{path}/n_docs")
+        kept = load(self.postings.sparkSession, f"{path}/postings")
+        terms = term_stats(kept)
+        store(terms, f"{path}/terms")
+        norms = doc_norms(kept, load(kept.sparkSession, f"{path}/terms"), self.n_docs)
+        doc_lengths(kept).join(norms, ["field", "doc_id"]).write.mode("overwrite").partitionBy("field").parquet(f"{path}/lengths")
+        lengths = load(kept.sparkSession, f"{path}/lengths")
+        total = lengths.groupBy("field").agg(F.sum("dl").alias("c"))
+        corpus_stats(lengths, self.n_docs).join(total, "field").write.mode("overwrite").partitionBy("field").parquet(f"{path}/metadata")
 
     def lengths(self) -> DataFrame:
-        return doc_lengths(self.postings)
+        return self.stored["lengths"].select("field", "doc_id", "dl") if self.stored else doc_lengths(self.postings)
 
     def terms(self) -> DataFrame:
-        return term_stats(self.postings)
+        return self.stored["terms"] if self.stored else term_stats(self.postings)
+
+    def norms(self) -> DataFrame:
+        return self.stored["lengths"].select("field", "doc_id", "norm") if self.stored else doc_norms(self.postings, self.terms(), self.n_docs)
+
+    def totals(self) -> DataFrame:
+        """``(field, c)``: tokens of all documents."""
+        return self.stored["metadata"].select("field", "c") if self.stored else self.postings.groupBy("field").agg(F.sum("tf").alias("c"))
 
     def mean_lengths(self) -> DataFrame:
         """``(field, avdl)``: of descriptions over documents that have one, else over all."""
-        s = corpus_stats(self.lengths(), self.n_docs)
+        s = self.stored["metadata"] if self.stored else corpus_stats(self.lengths(), self.n_docs)
         return s.select("field", F.when(F.col("field") == "description", F.col("avg_having")).otherwise(F.col("avg_all")).alias("avdl"))
+
+
+def read_table(spark: SparkSession, path: str, field: str, kind: str = "postings") -> DataFrame:
+    """One table of a stored index by the field's name and the kind: postings (``tiered`` with their tiers), terms, lengths or metadata."""
+    if field not in TIERS or kind not in (*TABLES, "tiered"):
+        raise ValueError(f"no {kind} named {field}")
+    df = load(spark, f"{path}/{'postings' if kind == 'tiered' else kind}", field)
+    return df.drop("tier") if kind == "postings" else df
+
+
+def check(index: Index, corpus: DataFrame, stop: list[str]) -> DataFrame:
+    """``(name, same)``: whether the index's postings, counts of terms and lengths are those of ``corpus`` indexed anew."""
+    fresh = Index.build(corpus, stop)
+    tables = {"postings": (index.postings, fresh.postings), "terms": (index.terms(), fresh.terms()), "lengths": (index.lengths(), fresh.lengths())}
+    spark = index.postings.sparkSession
+    rows = []
+    for name, (a, b) in tables.items():
+        b = b.select(*(F.col(c).cast(t) for c, t in b.dtypes))
+        a = a.select(b.columns)
+        rows.append((name, a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()))
+    return spark.createDataFrame(rows, "name string, same boolean")

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import stemming
 from foliant.functions import text as T
-from foliant.operators.index import Index
+from foliant.operators.index import Analyser, Index
 
 #: Default weights of the fields, and parameters of BM25.
 WEIGHTS = {"characters": 0.3, "genres": 0.3, "description": 0.4}
@@ -20,12 +21,18 @@ METHODS = ("ltn.lnn", "ltc.lnc", "bm25", "lm_naive", "lm_bayes", "lm_mixture")
 MINUS_INFINITY = float("-inf")
 
 
-def query_terms(queries: DataFrame, stop: list[str]) -> DataFrame:
-    """``(query_id, term, qtf)`` of ``(query_id, text)``."""
-    words = queries.select("query_id", F.explode(T.analyse(F.col("text"))).alias("term")).where(~F.col("term").isin(stop))
+def query_terms(queries: DataFrame, stop: list[str], analyser: Analyser = T.analyse, stem: bool = False) -> DataFrame:
+    """``(query_id, term, qtf)`` of ``(query_id, text)``, by the analyser of the index."""
+    words = queries.select("query_id", F.explode(analyser(F.col("text"))).alias("term")).where(~F.col("term").isin(stop))
+    words = words.withColumn("term", stemming.porter("term")) if stem else words
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def of_terms(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the terms that are asked for."""
+    return postings.join(queries.select("term").distinct(), "term", "left_semi")
+
+
 def _parts(df: DataFrame) -> list[str]:
     return [c for c in ("field", "tier") if c in df.columns]
 
@@ -39,9 +46,10 @@ def scores(index: Index, queries: DataFrame, method: str, alpha: float = 0.5, la
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    p = index.postings if postings is None else postings
-    parts = _parts(p)
-    terms = p.groupBy(*parts, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    whole = index.postings if postings is None else postings
+    parts = _parts(whole)
+    p = of_terms(whole, queries)
+    terms = index.terms() if index.stored and parts == ["field"] else p.groupBy(*parts, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     asked = queries.join(terms, "term").crossJoin(F.broadcast(index.n_docs)).withColumn("idf", F.log(F.col("n_docs") / F.col("df")))
     if method in ("ltn.lnn", "ltc.lnc"):
         hits = p.join(asked, [*parts, "term"])
@@ -49,9 +57,12 @@ def scores(index: Index, queries: DataFrame, method: str, alpha: float = 0.5, la
         raw = hits.groupBy("query_id", *parts, "doc_id").agg(score.alias("score"))
         if method == "ltn.lnn":
             return raw
-        weighed = p.join(terms, [*parts, "term"]).crossJoin(F.broadcast(index.n_docs))
-        w = (1 + F.log("tf")) * F.log(F.col("n_docs") / F.col("df"))
-        norms = weighed.groupBy(*parts, "doc_id").agg(F.sqrt(F.sum(w * w)).alias("dn"))
+        if parts == ["field"]:
+            norms = index.norms().withColumnRenamed("norm", "dn")
+        else:
+            df = whole.groupBy(*parts, "term").agg(F.count("*").alias("df"))
+            w = (1 + F.log("tf")) * F.log(F.col("n_docs") / F.col("df"))
+            norms = whole.join(df, [*parts, "term"]).crossJoin(F.broadcast(index.n_docs)).groupBy(*parts, "doc_id").agg(F.sqrt(F.sum(w * w)).alias("dn"))
         qn = queries.groupBy("query_id").agg(F.sqrt(F.sum((1 + F.log("qtf")) * (1 + F.log("qtf")))).alias("qn"))
         both = raw.join(norms, [*parts, "doc_id"]).join(qn, "query_id")
         return both.select("query_id", *parts, "doc_id", F.coalesce(F.try_divide(F.col("score"), F.col("dn") * F.col("qn")), F.lit(0.0)).alias("score"))
@@ -61,7 +72,7 @@ def scores(index: Index, queries: DataFrame, method: str, alpha: float = 0.5, la
         weight = F.col("idf") * (K1 + 1) * tf / (K1 * ((1 - B) + B * F.col("dl") / F.col("avdl")) + tf)
         hits = p.join(asked, [*parts, "term"]).join(lengths, ["field", "doc_id"]).join(F.broadcast(index.mean_lengths()), "field")
         return hits.groupBy("query_id", *parts, "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
-    total = p.groupBy(*parts).agg(F.sum("tf").alias("c"))
+    total = index.totals() if parts == ["field"] else whole.groupBy(*parts).agg(F.sum("tf").alias("c"))
     share = F.col("cf") / F.col("c")
     qsize = queries.groupBy("query_id").agg(F.count("*").alias("nt"), F.sum("qtf").alias("qlen"))
     known = asked.join(F.broadcast(total), parts)
@@ -100,7 +111,8 @@ def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def _only(index: Index, weights: dict[str, float]) -> Index:
     """The index with the fields of positive weight, so that others are not read."""
-    return Index(index.postings.where(F.col("field").isin([f for f, w in weights.items() if w > 0])), index.n_docs)
+    used = F.col("field").isin([f for f, w in weights.items() if w > 0])
+    return Index(index.postings.where(used), index.n_docs, {name: df.where(used) for name, df in index.stored.items()})
 
 
 def search(index: Index, queries: DataFrame, method: str = "bm25", weights: dict[str, float] | None = None, k: int = 10, tiers: DataFrame | None = None, **smoothing: float) -> DataFrame:
@@ -113,6 +125,7 @@ def search(index: Index, queries: DataFrame, method: str = "bm25", weights: dict
     if tiers is None:
         return top_k(fuse(scores(_only(index, weights), queries, method, **smoothing), weights), k)
     used = tiers.where(F.col("field").isin([f for f, w in weights.items() if w > 0]))
+    index = _only(index, weights)
     scored = scores(index, queries, method, postings=used, **smoothing)
     by_doc = Window.partitionBy("query_id", "field", "doc_id").orderBy("tier")
     first = scored.withColumn("_r", F.row_number().over(by_doc)).where("_r = 1").drop("_r")

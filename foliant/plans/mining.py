@@ -141,6 +141,25 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "accuracy", "macro_f1", "micro_f1").orderBy(F.desc("macro_f1"), "model")
 
 
+def model_leaderboard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models on the embeddings, chosen by macro F1 on dev rows and reported on test rows; the best first."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(20)))
+    train, dev, test = checkpoint(rows.where("_part > 5").drop("_part")), rows.where("_part between 3 and 5").drop("_part"), rows.where("_part < 3").drop("_part")
+    models = {
+        "knn": lambda part: classify.knn(part, train), "gaussian_nb": lambda part: classify.predict_gaussian(part, *classify.gaussian_nb(train)),
+        "softmax_regression": lambda part: classify.softmax_regression(train, part), "mlp": lambda part: classify.mlp(train, part),
+    }
+    parts = []
+    for name, predict in models.items():
+        scored = []
+        for part in (dev, test):
+            truth = part.select(F.col("vec_id").alias("id"), "label")
+            scored.append(classify.overall(truth.join(predict(part), "id").select("label", "predicted")))
+        on_dev = scored[0].select(F.col("macro_f1").alias("dev_macro_f1"))
+        parts.append(scored[1].crossJoin(on_dev).select(F.lit(name).alias("model"), "dev_macro_f1", "accuracy", "macro_f1", "micro_f1"))
+    return runs.stack(parts).orderBy(F.desc("dev_macro_f1"), "model")
+
+
 def softmax_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _embedded(spark, sf_dir)
     return classify.softmax_regression(train, test)
@@ -184,6 +203,32 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.silhouette(table(spark, sf_dir, "embeddings"))
 
 
+def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.silhouette(table(spark, sf_dir, "embeddings"), squared=True)
+
+
+def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes of the rows whose id is divisible by 20, against all rows."""
+    return cluster.silhouette_euclidean(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def cluster_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.representatives(table(spark, sf_dir, "embeddings"))
+
+
+def hac_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.hac(table(spark, sf_dir, "embeddings"), linkage="single")
+
+
+def hac_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.hac(table(spark, sf_dir, "embeddings"), linkage="complete")
+
+
+def grid_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean measures of each method over its runs."""
+    return runs.means(_grid(spark, sf_dir), ["method"], ["purity", "nmi", "rand_index"]).select("method", *(F.round(c, 5).alias(c) for c in ("purity", "nmi", "rand_index")))
+
+
 def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.pca_2d(table(spark, sf_dir, "embeddings"))
 
@@ -228,6 +273,25 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
+def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct skip-gram pair with five words that are not its context, of the 100 most frequent words."""
+    sentences = embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir))
+    vocabulary = [r["word"] for r in embed.vocabulary(sentences, most=100).select("word").collect()]
+    return embed.negatives(embed.skip_grams(sentences).distinct(), vocabulary)
+
+
+def sgns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors by skip-grams with negative samples, over all sentences."""
+    return embed.sgns(embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir)), size=32, epochs=3)
+
+
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all trained words to each of the 20 most frequent ones."""
+    sentences = embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir))
+    words = checkpoint(embed.word2vec(sentences, size=50, epochs=2))
+    return vectors.nearest(words.join(embed.vocabulary(sentences, most=20).select("word"), "word", "left_semi"), words, id_col="word", vector="vec")
+
+
 def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.word2vec(embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir)))
 
@@ -296,7 +360,7 @@ QUERIES = {
         nb_multinomial, nb_gaussian, knn_classify, confusion_matrix, classification_report, misclassified, model_leaderboard, softmax_regression, mlp_classify,
         kmeans_step, spherical_kmeans_step, kmeans, cluster_quality, dbscan, dbscan_summary, hac, silhouette, pca_2d, cluster_top_terms, cluster_profile,
         nearest_neighbors, odd_one_out, mean_pooling, w2v_corpus, skipgram_pairs, token_histogram, word2vec, pages_by_language, pages_by_all_languages,
-        clustering_grid, best_runs, purity_by_k, frequent_confusions,
+        clustering_grid, best_runs, purity_by_k, frequent_confusions, silhouette_squared, silhouette_euclidean, cluster_representatives, hac_single, hac_complete, grid_means, negative_samples, sgns, similar_words, model_leaderboard_all,
     )
 }
 
@@ -399,7 +463,7 @@ ORACLE = {
     "tfidf_vocab": f"WITH {TFIDF} SELECT term_id, term, tf, df, round(idf, 6) AS idf FROM vocab",
     "tfidf_vectors": f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM vec",
     "tfidf_top_variance": f"WITH {TFIDF}, s AS (SELECT term_id, term, round(sum(w * w) / max(n) - pow(sum(w) / max(n), 2), 9) AS variance FROM vec, nn GROUP BY ALL) SELECT term, round(variance, 6) AS variance FROM (SELECT * FROM s ORDER BY variance DESC, term_id LIMIT 3000)",
-    "standard_scale": f"""WITH {S.BOOKS}, n AS (SELECT bookid AS doc_id, CASE WHEN regexp_matches(trim(coalesce(num_pages, '')), '^[0-9]{{1,9}}$') THEN trim(num_pages)::DOUBLE ELSE 0.0 END AS pages, CASE WHEN regexp_matches(trim(coalesce(avg_rating, '')), '^[0-9]+(\\.[0-9]+)?$') THEN trim(avg_rating)::DOUBLE ELSE 0.0 END AS rating FROM books),
+    "standard_scale": f"""WITH {S.BOOKS}, n AS (SELECT bookid AS doc_id, ({S.whole('num_pages')})::DOUBLE AS pages, {S.number('avg_rating')} AS rating FROM books),
 s AS (SELECT avg(pages) AS mp, stddev_pop(pages) AS sp, avg(rating) AS mr, stddev_pop(rating) AS sr FROM n)
 SELECT doc_id, round((pages - mp) / CASE WHEN sp < 1e-8 THEN 1 ELSE sp END, 6) AS pages, round((rating - mr) / CASE WHEN sr < 1e-8 THEN 1 ELSE sr END, 6) AS rating FROM n, s""",
     "main_category": f"WITH {S.BOOKS}, {MAIN} SELECT * FROM main",
@@ -438,6 +502,22 @@ UNION ALL SELECT 'gaussian_nb', (SELECT round(avg((label = predicted)::INT), 6)
     "silhouette": f"""WITH {_EMB}, d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM e a, e b GROUP BY ALL),
 ab AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 0 THEN s / n END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY ALL)
 SELECT own AS cluster, count(*)::BIGINT AS points, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b, 1e-12) END), 6) AS silhouette FROM ab GROUP BY own""",
+    "silhouette_squared": f"""WITH {_EMB}, d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM e a, e b GROUP BY ALL),
+ab AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 0 THEN s / n END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY ALL)
+SELECT own AS cluster, count(*)::BIGINT AS points, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b, 1e-12) END), 6) AS silhouette FROM ab GROUP BY own""",
+    "silhouette_euclidean": f"""WITH {_EMB}, d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM e a, e b WHERE a.vec_id % 20 = 0 GROUP BY ALL),
+ab AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 0 THEN s / n END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY ALL)
+SELECT vec_id AS id, own AS cluster, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b, 1e-12) END, 6) AS silhouette FROM ab""",
+    "cluster_representatives": f"""WITH {_EMB}, u AS (SELECT vec_id AS id, label AS cluster, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+c AS (SELECT cluster, list(s ORDER BY pos) AS c FROM (SELECT cluster, pos, sum(x) AS s FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u) GROUP BY ALL) GROUP BY cluster),
+n AS (SELECT cluster, id, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 6) AS similarity FROM u JOIN c USING (cluster))
+SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC, id)::BIGINT AS rank, id, similarity FROM n QUALIFY rank <= 3""",
+    "grid_means": f"WITH {_sql_grid()} SELECT method, round(avg(purity), 5) AS purity, round(avg(nmi), 5) AS nmi, round(avg(rand_index), 5) AS rand_index FROM grid GROUP BY method",
+    "negative_samples": f"""WITH {_W2V}, w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM sent WHERE len(t) > 1),
+pairs AS (SELECT DISTINCT a.word AS center, b.word AS context FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 3),
+top AS (SELECT list(word ORDER BY n DESC, word) AS l FROM (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM sent) GROUP BY word ORDER BY n DESC, word LIMIT 100)),
+drawn AS (SELECT center, context, l, ('0x' || substr(md5('42:' || i || ':' || center || ' ' || context), 1, 7))::BIGINT % len(l) AS p FROM pairs, top, range(1, 6) r(i))
+SELECT center, context, CASE WHEN l[p + 1] = context THEN l[(p + 1) % len(l) + 1] ELSE l[p + 1] END AS negative FROM drawn""",
     "cluster_top_terms": f"WITH {TFIDF}, sz AS (SELECT label, count(*) AS n FROM docs GROUP BY 1), m AS (SELECT d.label AS cluster, term, round(sum(w) / max(sz.n), 6) AS weight FROM vec JOIN docs d USING (doc_id) JOIN sz ON sz.label = d.label GROUP BY ALL) SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::BIGINT AS rank, term, weight FROM m QUALIFY rank <= 10",
     "cluster_profile": f"""WITH {S.BOOKS}, {MAIN}, k AS (SELECT doc_id, coalesce(label, 'none') AS cluster FROM main), v AS (SELECT bookid AS doc_id, unnest({_ITEMS.format(c='genres')}) AS value FROM books), n AS (SELECT cluster, value, count(*) AS n FROM k JOIN v USING (doc_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value) AS r FROM n) SELECT s.cluster, s.size, coalesce(t.top, '') AS top FROM (SELECT cluster, count(*)::BIGINT AS size FROM k GROUP BY 1) s LEFT JOIN (SELECT cluster, string_agg(value || ' (' || n || ')', ', ' ORDER BY r) AS top FROM r WHERE r <= 5 GROUP BY 1) t USING (cluster)""",
@@ -447,6 +527,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value)
     "w2v_corpus": f"WITH {_W2V} SELECT doc_id, array_to_string(t, ' ') AS tokens FROM sent",
     "skipgram_pairs": f"WITH {_W2V}, w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM sent WHERE len(t) > 1) SELECT a.word AS center, b.word AS context, count(*)::BIGINT AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 3 GROUP BY ALL",
     "token_histogram": f"WITH {_W2V} SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(t) AS word FROM sent) GROUP BY word ORDER BY n DESC, word LIMIT 100",
-    "pages_by_language": f"""WITH {S.BOOKS}, {MAIN}, p AS (SELECT label, lower(trim(languages)) AS lang, CASE WHEN regexp_matches(trim(coalesce(num_pages, '')), '^[0-9]{{1,9}}$') THEN trim(num_pages)::INT ELSE 0 END AS pages FROM books JOIN main ON doc_id = bookid WHERE label IS NOT NULL)
+    "pages_by_language": f"""WITH {S.BOOKS}, {MAIN}, p AS (SELECT label, lower(trim(languages)) AS lang, {S.whole('num_pages')} AS pages FROM books JOIN main ON doc_id = bookid WHERE label IS NOT NULL)
 SELECT label, {', '.join(f"max(pages) FILTER (lang = '{x}') AS {x}" for x in ('english', 'spanish', 'french', 'german'))} FROM p GROUP BY label""",
 }

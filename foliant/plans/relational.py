@@ -31,6 +31,13 @@ def books_of_top_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.books(spark, sf_dir).join(F.broadcast(top_titles(spark, sf_dir).select("title")), "title", "left_semi").select("bookid", "title")
 
 
+def book_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookup: the book of one id, here the smallest of a book with a title."""
+    books = B.books(spark, sf_dir)
+    wanted = books.where("title is not null").agg(F.min("bookid")).first()[0]
+    return B.lookup(table(spark, sf_dir, "books_csv"), wanted).select("bookid", "title", "author")
+
+
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.joined_text(("title ", F.col("title")), ("author ", F.col("author")))
     return B.books(spark, sf_dir).select("bookid", text.alias("text"), T.shorten(F.coalesce("description", F.lit(""))).alias("short"))
@@ -39,8 +46,8 @@ def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of numbers as arrays; what does not parse is null."""
     v = F.from_json("description_emb", "array<double>")
-    rows = table(spark, sf_dir, "embedding_csv").where(F.col("description_emb").rlike(r"^\[[-+0-9.eE, ]+\]$"))
-    return rows.select("bookid", F.size(v).cast("bigint").alias("dimensions"), F.round(vectors.norm(v), 4).alias("norm")).where("dimensions > 1")
+    rows = table(spark, sf_dir, "embedding_csv").where(F.col("description_emb").rlike(r"^\[[-+0-9.eE, \t\r\n]+\]$"))
+    return rows.select("bookid", F.size(v).cast("bigint").alias("dimensions"), F.round(vectors.norm(v), 4).alias("norm")).where("dimensions > 0")
 
 
 def event_main_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +93,6 @@ def new_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.distinct().join(B.books(spark, sf_dir).select("title"), "title", "left_anti")
 
 
-def nested_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different books by one author of which one's genres are among the other's, for authors of up to eight books."""
-    books = B.books(spark, sf_dir).where("author is not null and trim(author) <> ''").select("bookid", "author", T.list_items(F.col("genres")).alias("g")).where("size(g) > 0")
-    few = books.groupBy("author").agg(F.count("*").alias("n")).where("n between 2 and 8").select("author")
-    books = books.join(few, "author", "left_semi")
-    x, y = books.alias("x"), books.alias("y")
-    inside = F.size(F.array_except("x.g", "y.g")) == 0
-    return x.join(y, (F.col("x.author") == F.col("y.author")) & (F.col("x.bookid") != F.col("y.bookid")) & inside).select(F.col("x.bookid").alias("inner_id"), F.col("y.bookid").alias("outer_id"))
-
-
 def genre_classes(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(author, g, head)``, one row for each distinct set of genres of an author, and ``(bookid, head)`` of all books with both."""
     sets = books.where("author is not null and trim(author) <> ''").select("bookid", "author", F.array_sort(F.array_distinct(T.list_items(F.col("genres")))).alias("g")).where("size(g) > 0")
@@ -120,8 +117,8 @@ def nested_classes(classes: DataFrame, most: int = 256) -> DataFrame:
     return x.join(y, same & inside).select(F.col("x.head").alias("inner_head"), F.col("y.head").alias("outer_head"))
 
 
-def nested_genres_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nested_genres`` for authors of any number of books, as pairs of heads of equal sets; ``nested_genres_members`` names the books of each."""
+def nested_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books by one author of which one's genres lie within the other's, as pairs of heads of equal sets, for authors of any number of books; ``nested_genres_members`` names the books of each."""
     return nested_classes(written(genre_classes(B.books(spark, sf_dir))[0]))
 
 
@@ -132,19 +129,21 @@ def nested_genres_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (books_projection, last_loaded, top_titles, books_of_top_titles, joined_text, parsed_vectors, event_main_type, event_props, event_counts, title_char_grams, shingle_counts, all_titles, new_titles, nested_genres, nested_genres_all, nested_genres_members)
+    for f in (books_projection, last_loaded, top_titles, books_of_top_titles, joined_text, parsed_vectors, event_main_type, event_props, event_counts, title_char_grams, shingle_counts, all_titles, new_titles, nested_genres, nested_genres_members, book_by_id)
 }
 
 _LIST = "list_filter(list_transform(string_split(coalesce({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 _TOP = "top AS (SELECT title, count(*)::BIGINT AS n FROM books WHERE title IS NOT NULL GROUP BY 1 ORDER BY n DESC, title LIMIT 10)"
+_CLASSES = f"""{S.BOOKS}, n AS (SELECT bookid, author, list_sort(list_distinct({_LIST.format(c='genres')})) AS g FROM books WHERE trim(coalesce(author, '')) <> '' AND len({_LIST.format(c='genres')}) > 0),
+c AS (SELECT author, g, min(bookid) AS head FROM n GROUP BY ALL)"""
 ORACLE = {
     "books_projection": f"""SELECT bookid AS id, trim(coalesce(title, '')) AS title, trim(coalesce(author, '')) AS author, array_to_string({_LIST.format(c='genres')}, '|') AS genres, array_to_string({_LIST.format(c='characters')}, '|') AS characters,
-CASE WHEN regexp_matches(trim(coalesce(num_pages, '')), '^[0-9]{{1,9}}$') THEN trim(num_pages)::INT ELSE 0 END AS num_pages, CASE WHEN regexp_matches(trim(coalesce(avg_rating, '')), '^[0-9]+(\\.[0-9]+)?$') THEN trim(avg_rating)::DOUBLE ELSE 0.0 END AS avg_rating FROM books_csv""",
+{S.whole('num_pages')} AS num_pages, {S.number('avg_rating')} AS avg_rating FROM books_csv""",
     "last_loaded": f"WITH {S.BOOKS} SELECT bookid, title, avg_rating FROM books",
     "top_titles": f"WITH {S.BOOKS}, {_TOP} SELECT * FROM top",
     "books_of_top_titles": f"WITH {S.BOOKS}, {_TOP} SELECT bookid, title FROM books WHERE title IN (SELECT title FROM top)",
     "joined_text": f"WITH {S.BOOKS} SELECT bookid, 'title ' || coalesce(title, '') || ' author ' || coalesce(author, '') AS text, CASE WHEN length(coalesce(description, '')) > 35 THEN substr(description, 1, 35) || '...' ELSE coalesce(description, '') END AS short FROM books",
-    "parsed_vectors": "SELECT bookid, len(v)::BIGINT AS dimensions, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM (SELECT bookid, TRY_CAST(description_emb AS DOUBLE[]) AS v FROM embedding_csv WHERE regexp_full_match(description_emb, '\\[[-+0-9.eE, ]+\\]')) WHERE len(v) > 1",
+    "parsed_vectors": "SELECT bookid, len(v)::BIGINT AS dimensions, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM (SELECT bookid, TRY_CAST(description_emb AS DOUBLE[]) AS v FROM embedding_csv WHERE regexp_full_match(description_emb, '\\[[-+0-9.eE, \t\r\n]+\\]')) WHERE len(v) > 0",
     "event_main_type": "SELECT user_id, event_type AS main_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, coalesce(list_position(['purchase', 'signup', 'click', 'view', 'error'], event_type), 10), event_type) = 1",
     "event_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "event_counts": "SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
@@ -152,6 +151,7 @@ CASE WHEN regexp_matches(trim(coalesce(num_pages, '')), '^[0-9]{{1,9}}$') THEN t
     "shingle_counts": f"WITH {S.BOOKS}, t AS (SELECT bookid AS doc_id, {S.analysed('description')} AS t FROM books WHERE description IS NOT NULL) SELECT doc_id, len(list_distinct({S.pairs('t')}))::BIGINT AS n FROM t WHERE len(t) > 1",
     "all_titles": f"WITH {S.BOOKS} SELECT bookid AS id, title, num_pages, NULL::BIGINT AS parts FROM books UNION ALL SELECT id, title, NULL, CASE WHEN descriptions IS NULL THEN NULL ELSE len(descriptions) END FROM lshfakedata",
     "new_titles": f"WITH {S.BOOKS} SELECT DISTINCT title FROM lshfakedata WHERE title IS NOT NULL AND title NOT IN (SELECT title FROM books WHERE title IS NOT NULL)",
-    "nested_genres": f"""WITH {S.BOOKS}, a AS (SELECT bookid, author, {_LIST.format(c='genres')} AS g FROM books WHERE trim(coalesce(author, '')) <> ''), n AS (SELECT * FROM a WHERE len(g) > 0), f AS (SELECT author FROM n GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8)
-SELECT x.bookid AS inner_id, y.bookid AS outer_id FROM n x JOIN n y ON x.author = y.author AND x.bookid <> y.bookid WHERE x.author IN (SELECT author FROM f) AND len(list_filter(x.g, lambda v: NOT list_contains(y.g, v))) = 0""",
+    "nested_genres": f"WITH {_CLASSES} SELECT x.head AS inner_head, y.head AS outer_head FROM c x JOIN c y ON x.author = y.author AND len(x.g) < len(y.g) AND len(list_intersect(x.g, y.g)) = len(x.g)",
+    "nested_genres_members": f"WITH {_CLASSES} SELECT bookid, head FROM n JOIN c USING (author, g)",
+    "book_by_id": f"WITH {S.BOOKS} SELECT bookid, title, author FROM books WHERE bookid = (SELECT min(bookid) FROM books WHERE title IS NOT NULL)",
 }

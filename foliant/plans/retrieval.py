@@ -9,7 +9,7 @@ from foliant.functions import stemming
 from foliant.functions import text as T
 from foliant.operators import evaluate, index, neardup, rank, snippet, spell
 from foliant.plans import sql as S
-from foliant.session import table, written
+from foliant.session import ensure_checkpoint_dir, table, written
 from foliant.sources import books as B
 
 Built = tuple[DataFrame, DataFrame, index.Index, DataFrame]
@@ -22,7 +22,8 @@ def build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = B.FIELDS,
     corpus = B.corpus(books, fields)
     n_docs = books.agg(F.countDistinct("bookid").alias("n_docs"))
     postings = index.postings(corpus, stop)
-    return books, corpus, index.Index(written(postings) if cut else postings, n_docs), rank.query_terms(B.title_queries(books), stop)
+    asked = rank.query_terms(B.title_queries(books), stop)
+    return books, corpus, index.Index(written(postings) if cut else postings, n_docs), written(asked) if cut else asked
 
 
 def _ranked(method: str, fields: tuple[str, ...] = ("description",), **smoothing: float):
@@ -48,11 +49,61 @@ def quality(books: DataFrame) -> DataFrame:
 def _tiered(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         books, _, built, asked = build(spark, sf_dir)
-        return rank.search(built, asked, method, tiers=index.tiered(built.postings, quality(books)))
+        # a term's tiers follow from its own postings; only norms of documents need those of all terms
+        listed = built.postings if method == "ltc.lnc" else rank.of_terms(built.postings, asked)
+        return rank.search(built, asked, method, tiers=written(index.tiered(listed, quality(books))))
 
     return query
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The books, and the folder of their index, built and saved once a session in the shared folder for a version of the table."""
+    books = B.books(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    files = table(spark, sf_dir, "books_csv").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    version = files.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0))).first()
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{version[0]}-{version[1] % 2**64:x}"
+    if path not in _SAVED:
+        _, _, built, _ = build(spark, sf_dir)
+        built.save(path, quality(books))
+        _SAVED.add(path)
+    return books, path
+
+
+_SAVED: set[str] = set()
+
+
+def _stored(method: str, tiers: bool = False, **smoothing: float):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        books, path = stored_index(spark, sf_dir)
+        read = index.Index.read(spark, path)
+        asked = written(rank.query_terms(B.title_queries(books), B.stop_words(spark, sf_dir)))
+        return rank.search(read, asked, method, tiers=read.stored["postings"] if tiers else None, **smoothing)
+
+    return query
+
+
+def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index held against one made anew."""
+    books, path = stored_index(spark, sf_dir)
+    return index.check(index.Index.read(spark, path), B.corpus(books), B.stop_words(spark, sf_dir))
+
+
+def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, path = stored_index(spark, sf_dir)
+    parts = [index.read_table(spark, path, f, "metadata") for f in B.FIELDS]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("field", F.round("avg_all", 6).alias("avg_all"), F.round("avg_having", 6).alias("avg_having"), "n_docs")
+
+
+def search_stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over stems of words, in the index and in the queries."""
+    stop, books = B.stop_words(spark, sf_dir), B.books(spark, sf_dir)
+    words = index.Index.build(B.corpus(books), stop, stem=True)
+    built = index.Index(written(words.postings), books.agg(F.countDistinct("bookid").alias("n_docs")))
+    return rank.search(built, written(rank.query_terms(B.title_queries(books), stop, stem=True)), "bm25")
+
+
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     stop = B.stop_words(spark, sf_dir)
     clean = lambda c: F.array_join(T.without(T.analyse(F.coalesce(F.col(c), F.lit(""))), stop), " ")
@@ -84,7 +135,7 @@ def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books, _, built, _ = build(spark, sf_dir, cut=False)
+    books, _, built, _ = build(spark, sf_dir)
     return index.tiered(built.postings, quality(books))
 
 
@@ -216,6 +267,8 @@ QUERIES = {
     "lm_naive": _ranked("lm_naive"), "lm_dirichlet": _ranked("lm_bayes", alpha=0.5), "lm_jelinek_mercer": _ranked("lm_mixture", lamda=0.5),
     "search_safe_bm25": _search("bm25"), "search_safe_vsm": _search("ltc.lnc"), "search_safe_lm": _search("lm_mixture", lamda=0.5),
     "search_tiered_bm25": _tiered("bm25"), "search_tiered_vsm": _tiered("ltc.lnc"), "search_topk": _search("ltn.lnn"),
+    "search_stored_bm25": _stored("bm25"), "search_stored_vsm": _stored("ltc.lnc"), "search_stored_lm": _stored("lm_mixture", lamda=0.5), "search_stored_tiered_bm25": _stored("bm25", tiers=True),
+    "search_stemmed_bm25": search_stemmed_bm25, "index_check": index_check, "stored_metadata": stored_metadata,
     "analyze_documents": analyze_documents, "postings": postings, "doc_lengths": doc_lengths, "corpus_stats": corpus_stats, "term_stats": term_stats, "doc_norms": doc_norms,
     "tiered_index": tiered_index, "index_add_doc": index_add_doc, "index_add_records": index_add_records, "index_remove_doc": index_remove_doc, "posting_list": posting_list,
     "eval_precision_recall": _eval("precision", "recall", "f1"), "eval_map": _eval("map"), "eval_ndcg": _eval("dcg", "ndcg"), "eval_mrr": _eval("mrr"),
@@ -301,6 +354,9 @@ ORACLE = {
     "bm25": _one("bm25"), "vsm_ltn_lnn": _one("ltn.lnn"), "vsm_ltc_lnc": _one("ltc.lnc"), "lm_naive": _one("lm_naive"), "lm_dirichlet": _one("lm_bayes"), "lm_jelinek_mercer": _one("lm_mixture"),
     "search_safe_bm25": _safe("bm25"), "search_safe_vsm": _safe("ltc.lnc"), "search_safe_lm": _safe("lm_mixture"), "search_topk": _safe("ltn.lnn"),
     "search_tiered_bm25": S.tiered_search("bm25"), "search_tiered_vsm": S.tiered_search("ltc.lnc"),
+    "search_stored_bm25": _safe("bm25"), "search_stored_vsm": _safe("ltc.lnc"), "search_stored_lm": _safe("lm_mixture"), "search_stored_tiered_bm25": S.tiered_search("bm25"),
+    "index_check": "SELECT unnest(['postings', 'terms', 'lengths']) AS name, true AS same",
+    "stored_metadata": f"WITH {S.INDEX}, {S.STATS} SELECT field, round(avg_all, 6) AS avg_all, round(avg_having, 6) AS avg_having, n_docs FROM stats",
     "analyze_documents": f"""WITH {S.BOOKS}, {S.STOP}, s AS (SELECT list(term) AS l FROM stop)
 SELECT bookid AS doc_id, {', '.join(f"array_to_string(list_filter({S.analysed(f"coalesce({c}, '')")}, lambda w: NOT list_contains(l, w)), ' ') AS {c}" for c in ('title', 'description', 'author'))} FROM books, s""",
     "postings": f"WITH {S.INDEX} SELECT * FROM postings",

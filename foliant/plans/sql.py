@@ -25,6 +25,16 @@ def pairs(tokens: str) -> str:
     return f"list_transform(list_zip({tokens}[:-2], {tokens}[2:]), lambda p: p[1] || ' ' || p[2])"
 
 
+def whole(cell: str) -> str:
+    """Digits as a number, anything else 0."""
+    return f"CASE WHEN regexp_matches(trim(coalesce({cell}, '')), '^[0-9]+$') THEN coalesce(TRY_CAST(trim({cell}) AS BIGINT), 0) ELSE 0 END"
+
+
+def number(cell: str) -> str:
+    """A decimal number, anything else 0.0."""
+    return f"CASE WHEN regexp_matches(trim(coalesce({cell}, '')), {quote(T.NUMBER)}) THEN CAST(trim({cell}) AS DOUBLE) ELSE 0.0 END"
+
+
 BOOKS = "books AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY bookid ORDER BY loaded_at DESC, coalesce(avg_rating, '') DESC) AS rn FROM books_csv WHERE bookid IS NOT NULL) WHERE rn = 1)"
 STOP = f"stop AS (SELECT DISTINCT word AS term FROM stopwords WHERE word IS NOT NULL UNION SELECT unnest([{', '.join(map(quote, T.STOP_WORDS))}]))"
 CORPUS = """corpus AS (
@@ -40,7 +50,7 @@ QUERIES = f"""queries AS (SELECT bookid AS query_id, title AS text FROM books WH
 qt AS (SELECT query_id, term, count(*)::BIGINT AS qtf FROM (SELECT query_id, unnest({analysed('text')}) AS term FROM queries) ANTI JOIN stop USING (term) GROUP BY ALL)"""
 INDEX = ",\n".join([BOOKS, STOP, CORPUS, TOKENS, POSTINGS, LENGTHS, NDOCS])
 RANKING = ",\n".join([INDEX, STATS, QUERIES])
-TIERS = """quality AS (SELECT bookid AS doc_id, CASE WHEN regexp_matches(trim(coalesce(avg_rating, '')), '^[0-9]+(\\.[0-9]+)?$') THEN CAST(trim(avg_rating) AS DOUBLE) ELSE 0.0 END AS quality FROM books),
+TIERS = f"""quality AS (SELECT bookid AS doc_id, {number('avg_rating')} AS quality FROM books),
 tiers AS (SELECT field, term, doc_id, tf, CASE WHEN r <= CASE field WHEN 'characters' THEN 3 WHEN 'description' THEN 10 ELSE 1 END THEN 1
   WHEN r <= CASE field WHEN 'characters' THEN 5 WHEN 'description' THEN 15 ELSE 1 END THEN 2 ELSE 3 END::BIGINT AS tier
   FROM (SELECT p.*, row_number() OVER (PARTITION BY field, term ORDER BY tf * quality DESC, doc_id) AS r FROM postings p JOIN quality USING (doc_id)))"""

@@ -35,6 +35,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with one JSON array, streamed row by row through one writer; for results of a size that one file can hold."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, row in enumerate(rows.toLocalIterator()):
+            out.write((",\n" if i else "\n") + row[0])
+        out.write("\n]\n")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -58,6 +68,11 @@ def last_wins(df: DataFrame, id_col: str = "bookid") -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def lookup(df: DataFrame, wanted: str | None, id_col: str = "bookid") -> DataFrame:
+    """The row of one id, the one loaded last; no row for an unknown or null id. The filter reaches the scan, so that row groups are skipped."""
+    return last_wins(df.where(F.col(id_col) == F.lit(wanted)), id_col)
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(table(spark, sf_dir, "books_csv"))
 

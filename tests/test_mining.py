@@ -123,8 +123,14 @@ def test_words(spark):
     assert sorted((r.center, r.context) for r in embed.skip_grams(s, 1).collect()) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
     bad = embed.negatives(embed.skip_grams(s, 1), ["a", "b", "c"], 4).collect()
     assert len(bad) == 16 and all(r.negative != r.context for r in bad)
-    learned = embed.train_sgns([["king", "queen"] * 8, ["apple", "pear"] * 8] * 20, size=8, epochs=3, rate=0.05)
-    assert set(learned) == {"king", "queen", "apple", "pear"} and all(np.isfinite(v).all() for v in learned.values())
+    rng = np.random.default_rng(0)
+    royal, fruit = ["king", "queen", "crown", "throne"], ["apple", "pear", "plum", "grape"]
+    talk = [([str(w) for w in rng.choice(royal if i % 2 else fruit, 12)],) for i in range(400)]
+    learned = {r.word: np.array(r.vec) for r in embed.sgns(spark.createDataFrame(talk, "tokens array<string>"), size=8, epochs=4, rate=0.1).collect()}
+    assert set(learned) == {*royal, *fruit} and all(np.isfinite(v).all() for v in learned.values())
+    cos = lambda a, b: learned[a] @ learned[b] / np.linalg.norm(learned[a]) / np.linalg.norm(learned[b])
+    assert min(cos(a, b) for g in (royal, fruit) for a in g for b in g) > max(cos(a, b) for a in royal for b in fruit)
+    assert embed.sgns(s.limit(0)).count() == 0
     groups = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (1, 3, [0.0, 1.0]), (1, 4, [1.0, 0.05])], "grp int, id int, v array<double>")
     assert vectors.odd_one_out(groups).first().odd == 3
     pooled = vectors.mean_pool(spark.createDataFrame([(1, [1.0, 3.0], 1), (1, [4.0, 0.0], 2)], "g int, v array<double>, w int"), "g", "v", "w")

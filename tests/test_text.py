@@ -17,7 +17,7 @@ def test_analyser(spark):
     assert one(spark, T.analyse, None) == [] and one(spark, T.analyse, " \n") == []
 
 
-@pytest.mark.parametrize(("cell", "number", "rating"), [("42", 42, 42.0), (" 7 ", 7, 7.0), ("4,5", 0, 0.0), ("3.75", 0, 3.75), ("", 0, 0.0), (None, 0, 0.0), ("12 pages", 0, 0.0), ("99999999999", 0, 99999999999.0), ("-1", 0, 0.0)])
+@pytest.mark.parametrize(("cell", "number", "rating"), [("42", 42, 42.0), (" 7 ", 7, 7.0), ("4,5", 0, 0.0), ("3.75", 0, 3.75), ("", 0, 0.0), (None, 0, 0.0), ("12 pages", 0, 0.0), ("99999999999", 99999999999, 99999999999.0), ("9" * 30, 0, 1e30), ("-4", 0, -4.0), ("+1.5", 0, 1.5), (".5", 0, 0.5), ("1e3", 0, 1000.0), ("1.", 0, 1.0), ("nan", 0, 0.0), ("-1", 0, -1.0)])
 def test_guarded_numbers(spark, cell, number, rating):
     assert one(spark, T.guarded_int, cell) == number and one(spark, T.guarded_float, cell) == rating
 

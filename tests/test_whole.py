@@ -2,9 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliant.operators import cluster, index
+from foliant.functions import stemming
+from foliant.functions import text as T
+from foliant.operators import cluster, features, graph, index, rank, vectors
 from foliant.plans import mining, relational, retrieval
+from foliant.sources import books as B
 
 
 def test_nested_genres_of_an_author_of_many_books(spark):
@@ -66,3 +70,116 @@ def test_pages_of_every_language(spark):
     rows = [("Fantasy", " Russian ", "7"), ("Fantasy", "english", "3"), ("Fantasy", "english", "5"), ("Fantasy", "klingon", "9"), ("Fantasy", "Welsh", "2"), ("Horror", None, "4"), ("Horror", " ", "6"), ("Horror", "dutch", "x"), (None, "dutch", "8")]
     got = {r.label: {k: v for k, v in r.asDict().items() if v is not None and k != "label"} for r in mining.pages_of_languages(spark.createDataFrame(rows, "genres string, languages string, num_pages string")).collect()}
     assert got == {"Fantasy": {"russian": 7, "english": 5, "other": 9}, "Horror": {"none": 6, "dutch": 0}}
+
+
+KIND = "doc_id string, field string, text string"
+TEXTS = [("1", "description", "Running runners ran: relational books, the cats"), ("2", "description", "A runner runs with a cat"), ("3", "genres", "cats"), ("4", "description", ""), ("5", "description", None)]
+
+
+@pytest.mark.parametrize(("word", "want"), [("running", "run"), ("cats", "cat"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("agreed", "agre"), ("sky", "sky"), ("happy", "happi"), ("is", "is"), ("controlling", "control"), ("generalizations", "gener")])
+def test_stems(word, want):
+    assert stemming.stem(word) == want
+
+
+def test_stemmed_index_and_search(spark):
+    """Words of one stem are one term with their counts added; queries meet them in any form; an analyser of one's own can be passed."""
+    corpus = spark.createDataFrame(TEXTS, KIND)
+    stop = ["the", "a", "with"]
+    got = {tuple(r) for r in index.postings(corpus, stop, stem=True).collect()}
+    want = {}
+    for doc, field, text in TEXTS:
+        for w in "".join(c for c in (text or "").lower() if c not in T.PUNCTUATION).split():
+            if w not in stop:
+                key = (field, stemming.stem(w), doc)
+                want[key] = want.get(key, 0) + 1
+    assert got == {(*k, n) for k, n in want.items()} and ("description", "runner", "1", 1) in got
+    built = index.Index.build(corpus, stop, stem=True)
+    asked = rank.query_terms(spark.createDataFrame([("q", "Cat!")], "query_id string, text string"), stop, stem=True)
+    assert {r.doc_id for r in rank.search(built, asked, "ltn.lnn").collect()} == {"1", "2", "3"}
+    letters = lambda text: F.split(F.lower(text), "")
+    assert {r.term for r in index.postings(corpus.where("doc_id = '3'"), [], analyser=letters).collect()} >= {"c", "a", "t", "s"}
+
+
+def test_saved_index(spark, tmp_path):
+    """Every method ranks the same over the saved index; one field is read alone; unknown names are refused."""
+    corpus, stop = spark.createDataFrame(TEXTS, KIND), ["the", "a"]
+    built = index.Index.build(corpus, stop)
+    built.save(str(tmp_path), spark.createDataFrame([("1", 3.0), ("2", 4.5)], "doc_id string, quality double"))
+    read = index.Index.read(spark, str(tmp_path))
+    asked = rank.query_terms(spark.createDataFrame([("q", "runner cats"), ("r", "unseen")], "query_id string, text string"), stop)
+    for method in rank.METHODS:
+        assert rank.search(read, asked, method).collect() == rank.search(built, asked, method).collect()
+    assert all(r.same for r in index.check(read, corpus, stop).collect())
+    assert not all(r.same for r in index.check(read, corpus.where("doc_id <> '2'"), stop).collect())
+    assert {r.field for r in index.read_table(spark, str(tmp_path), "genres", "lengths").collect()} == {"genres"}
+    assert "tier" in index.read_table(spark, str(tmp_path), "genres", "tiered").columns and "tier" not in index.read_table(spark, str(tmp_path), "genres").columns
+    for names in (("titles", "postings"), ("genres", "nothing")):
+        with pytest.raises(ValueError):
+            index.read_table(spark, str(tmp_path), *names)
+
+
+def test_lookup_and_json_array(spark, tmp_path):
+    kind = "bookid string, title string, avg_rating string, loaded_at timestamp"
+    rows = spark.createDataFrame([("b1", "Old", "1", None), ("b2", "Other", None, None), (None, "x", None, None)], kind).unionByName(spark.sql("select 'b1' bookid, 'New' title, '2' avg_rating, timestamp'2024-01-01' loaded_at"))
+    assert [r.title for r in B.lookup(rows, "b1").collect()] == ["New"]
+    assert B.lookup(rows, "b9").count() == B.lookup(rows, None).count() == 0
+    path = f"{tmp_path}/books.json"
+    for df in (rows.select("bookid", "title"), rows.select("bookid", "title").limit(0)):
+        B.write_json_array(df, path)
+        assert sorted(map(str, B.read_json_array(spark, path, "bookid string, title string").collect())) == sorted(map(str, df.collect()))
+
+
+def test_numbers_in_order(spark):
+    values = [f"v{i:05}" for i in range(3_000)]
+    got = features.numbered(spark.createDataFrame([(v,) for v in reversed(values)], "v string"), "v", "n").collect()
+    assert sorted((r.n, r.v) for r in got) == list(enumerate(values))
+
+
+def brute_dbscan(m, eps, least):
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.round(m @ m.T, 6) >= 1 - eps
+    core = near.sum(1) >= least
+    label = np.full(len(m), -1)
+    number = 0
+    for i in range(len(m)):
+        if core[i] and label[i] < 0:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if label[x] < 0 and core[x]:
+                    label[x] = number
+                    todo += np.flatnonzero(near[x] & core & (label < 0)).tolist()
+            number += 1
+    for i in np.flatnonzero(~core):
+        reach = label[np.flatnonzero(near[i] & core)]
+        label[i] = reach.min() if len(reach) else -1
+    return label
+
+
+def test_dbscan_against_brute_force(spark):
+    """A chain over a third of a circle, clumps and noise; text ids; no limit on rounds."""
+    rng = np.random.default_rng(2)
+    chain = np.radians(np.linspace(0, 120, 600))
+    points = np.concatenate([np.stack([np.cos(chain), np.sin(chain), 0 * chain], 1), rng.normal(0, 0.02, (60, 3)) + [0, 0, 1], rng.normal(0, 0.02, (5, 3)) + [-1, -1, -1], rng.normal(0, 1, (30, 3))])
+    df = spark.createDataFrame([(f"p{i:04}", p.tolist()) for i, p in enumerate(points)], "vec_id string, embedding array<double>")
+    want = brute_dbscan(points, 0.00002, 3)
+    for eps, least in ((0.00002, 3), (0.01, 5), (0.5, 5)):
+        got = {r.id: r.cluster for r in cluster.dbscan(df, eps, least).collect()}
+        assert [got[f"p{i:04}"] for i in range(len(points))] == brute_dbscan(points, eps, least).tolist()
+    assert (want >= 0).any()
+    assert cluster.dbscan(df.limit(0)).count() == 0
+    counts = {r.a: r.n for r in vectors.neighbour_counts(df, 0.99).collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    assert counts == {f"p{i:04}": n for i, n in enumerate(((np.round(unit @ unit.T, 6) >= 0.99).sum(1) - 1).tolist()) if n}
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1_000, i) for i in range(1_001, 1_200)], "a bigint, b bigint")
+    got = {r.node: r["head"] for r in graph.components(links).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1_000 for i in range(1_000, 1_200)}}
+
+
+def test_models_are_chosen_on_dev_rows(spark, sf):
+    rows = mining.model_leaderboard_all(spark, sf).collect()
+    assert {r.model for r in rows} == {"knn", "gaussian_nb", "softmax_regression", "mlp"}
+    assert [r.dev_macro_f1 for r in rows] == sorted((r.dev_macro_f1 for r in rows), reverse=True)
