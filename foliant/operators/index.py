@@ -145,21 +145,22 @@ class Index:
         corpus_stats(lengths, self.n_docs).join(total, "field").write.mode("overwrite").partitionBy("field").parquet(f"{path}/metadata")
 
     def lengths(self) -> DataFrame:
-        return self.stored["lengths"].select("field", "doc_id", "dl") if self.stored else doc_lengths(self.postings)
+        return self.stored["lengths"].select("field", "doc_id", "dl") if "lengths" in self.stored else doc_lengths(self.postings)
 
     def terms(self) -> DataFrame:
-        return self.stored["terms"] if self.stored else term_stats(self.postings)
+        return self.stored["terms"] if "terms" in self.stored else term_stats(self.postings)
 
     def norms(self) -> DataFrame:
-        return self.stored["lengths"].select("field", "doc_id", "norm") if self.stored else doc_norms(self.postings, self.terms(), self.n_docs)
+        kept = self.stored.get("lengths")
+        return kept.select("field", "doc_id", "norm") if kept is not None and "norm" in kept.columns else doc_norms(self.postings, self.terms(), self.n_docs)
 
     def totals(self) -> DataFrame:
         """``(field, c)``: tokens of all documents."""
-        return self.stored["metadata"].select("field", "c") if self.stored else self.postings.groupBy("field").agg(F.sum("tf").alias("c"))
+        return self.stored["metadata"].select("field", "c") if "metadata" in self.stored else self.lengths().groupBy("field").agg(F.sum("dl").alias("c"))
 
     def mean_lengths(self) -> DataFrame:
         """``(field, avdl)``: of descriptions over documents that have one, else over all."""
-        s = self.stored["metadata"] if self.stored else corpus_stats(self.lengths(), self.n_docs)
+        s = self.stored["metadata"] if "metadata" in self.stored else corpus_stats(self.lengths(), self.n_docs)
         return s.select("field", F.when(F.col("field") == "description", F.col("avg_having")).otherwise(F.col("avg_all")).alias("avdl"))
 
 

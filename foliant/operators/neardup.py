@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import written
 
 #: The permutations are x -> (a x + b) mod PRIME over 31-bit values of x.
 PRIME = 2_147_483_647
@@ -50,10 +51,20 @@ def buckets(signatures: DataFrame, bands: int = 25, n: int = 100) -> DataFrame:
     return signatures.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.band", "p.bucket")
 
 
-def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """``(doc_a, doc_b, shared)``: pairs that share buckets, and how many. Fold equal sets before, so that copies make no pairs."""
-    x, y = buckets.alias("x"), buckets.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+def bucket_pairs(buckets: DataFrame, most: int = 512) -> DataFrame:
+    """``(doc_a, doc_b, shared)``: pairs that share buckets, and how many. Fold equal sets before, so that copies make no pairs.
+
+    A bucket of over ``most`` rows is cut by a hash into parts of about that size, and
+    each two parts meet under a key of their own, so that no task gets it whole.
+    """
+    sizes = buckets.groupBy("band", "bucket").agg(F.ceil(F.count("*") / most).alias("_n")).where("_n > 1")
+    cut = buckets.join(sizes, ["band", "bucket"], "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), "_n"))
+    placed = cut.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).select("doc_id", "band", "bucket", "own", F.least("own", "_o").alias("lo"), F.greatest("own", "_o").alias("hi"))
+    x, y = placed.alias("x"), placed.alias("y")
+    same = F.lit(True)
+    for c in ("band", "bucket", "lo", "hi"):
+        same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    met = x.join(y, same & (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own"))))
     return met.groupBy(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b")).agg(F.count("*").alias("shared"))
 
 
@@ -72,8 +83,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def near_pairs(sets: DataFrame, n: int = 100, bands: int = 25) -> DataFrame:
     """``(doc_a, doc_b, shared, jaccard)`` of heads of equal sets that share buckets."""
-    folded, _ = fold_equal(sets)
-    met = bucket_pairs(buckets(signatures(folded, n), bands, n))
+    folded = written(fold_equal(sets)[0])
+    met = bucket_pairs(written(buckets(signatures(folded, n), bands, n)))
     left = folded.select(F.col("doc_id").alias("doc_a"), F.col("shingles").alias("sa"))
     right = folded.select(F.col("doc_id").alias("doc_b"), F.col("shingles").alias("sb"))
     return met.join(left, "doc_a").join(right, "doc_b").select("doc_a", "doc_b", "shared", F.round(jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))

@@ -49,7 +49,7 @@ def scores(index: Index, queries: DataFrame, method: str, alpha: float = 0.5, la
     whole = index.postings if postings is None else postings
     parts = _parts(whole)
     p = of_terms(whole, queries)
-    terms = index.terms() if index.stored and parts == ["field"] else p.groupBy(*parts, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = index.terms() if "terms" in index.stored and parts == ["field"] else p.groupBy(*parts, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     asked = queries.join(terms, "term").crossJoin(F.broadcast(index.n_docs)).withColumn("idf", F.log(F.col("n_docs") / F.col("df")))
     if method in ("ltn.lnn", "ltc.lnc"):
         hits = p.join(asked, [*parts, "term"])

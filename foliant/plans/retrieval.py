@@ -20,10 +20,13 @@ def build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = B.FIELDS,
     stop = B.stop_words(spark, sf_dir)
     books = B.books(spark, sf_dir)
     corpus = B.corpus(books, fields)
-    n_docs = books.agg(F.countDistinct("bookid").alias("n_docs"))
+    n_docs = table(spark, sf_dir, "books_csv").agg(F.countDistinct("bookid").alias("n_docs"))
     postings = index.postings(corpus, stop)
     asked = rank.query_terms(B.title_queries(books), stop)
-    return books, corpus, index.Index(written(postings) if cut else postings, n_docs), written(asked) if cut else asked
+    if not cut:
+        return books, corpus, index.Index(postings, n_docs), asked
+    postings = written(postings)
+    return books, corpus, index.Index(postings, written(n_docs), {"lengths": written(index.doc_lengths(postings))}), written(asked)
 
 
 def _ranked(method: str, fields: tuple[str, ...] = ("description",), **smoothing: float):
@@ -100,7 +103,7 @@ def search_stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over stems of words, in the index and in the queries."""
     stop, books = B.stop_words(spark, sf_dir), B.books(spark, sf_dir)
     words = index.Index.build(B.corpus(books), stop, stem=True)
-    built = index.Index(written(words.postings), books.agg(F.countDistinct("bookid").alias("n_docs")))
+    built = index.Index(written(words.postings), table(spark, sf_dir, "books_csv").agg(F.countDistinct("bookid").alias("n_docs")))
     return rank.search(built, written(rank.query_terms(B.title_queries(books), stop, stem=True)), "bm25")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import stemming
 from foliant.functions import text as T
-from foliant.operators import cluster, features, graph, index, rank, vectors
+from foliant.operators import cluster, features, graph, index, neardup, rank, vectors
 from foliant.plans import mining, relational, retrieval
 from foliant.sources import books as B
 
@@ -183,3 +183,13 @@ def test_models_are_chosen_on_dev_rows(spark, sf):
     rows = mining.model_leaderboard_all(spark, sf).collect()
     assert {r.model for r in rows} == {"knn", "gaussian_nb", "softmax_regression", "mlp"}
     assert [r.dev_macro_f1 for r in rows] == sorted((r.dev_macro_f1 for r in rows), reverse=True)
+
+
+def test_pairs_of_a_hot_bucket(spark):
+    """A bucket that is cut into parts gives each pair once."""
+    rows = [(f"d{i:02}", 0, "hot") for i in range(40)] + [("d00", 1, "cold"), ("d01", 1, "cold"), ("x", 1, "alone")]
+    buckets = spark.createDataFrame(rows, "doc_id string, band bigint, bucket string")
+    want = {(a, b): 1 for a in (f"d{i:02}" for i in range(40)) for b in (f"d{i:02}" for i in range(40)) if a < b} | {("d00", "d01"): 2}
+    for most in (512, 7):
+        got = neardup.bucket_pairs(buckets, most).collect()
+        assert {(r.doc_a, r.doc_b): r.shared for r in got} == want and len(got) == len(want)
