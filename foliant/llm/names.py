@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.classes import normal_form, spread
+from foliant.operators import graph
 from foliant.session import checkpoint, merging, written
 
 #: Words around a name that are no part of it, and words that belong to a surname.
@@ -257,22 +258,8 @@ def full_links(forms: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(form, person)``: the smallest form that each linked form reaches.
-
-    Each round takes the smallest label among neighbours and then the label of that
-    label, so that chains shorten by powers; rounds end when no label changes.
-    """
-    both = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("form"), F.least("a", "m").alias("person")))
-    while True:
-        heard = merging(both, label.withColumnRenamed("form", "b"), "b").groupBy("a").agg(F.min("person").alias("m"))
-        step = checkpoint(merging(label, heard, label["form"] == heard["a"]).select("form", F.least("person", "m").alias("next"), "person"))
-        head = step.select(F.col("form").alias("head"), F.col("next").alias("far"))
-        label = checkpoint(merging(step.withColumnRenamed("next", "head"), head, "head").select("form", F.col("far").alias("person"), (F.col("far") < F.col("person")).alias("moved")))
-        done = label.where("moved").isEmpty()
-        label = label.select("form", "person")
-        if done:
-            return label
+    """``(form, person)``: the smallest form that each linked form reaches."""
+    return graph.components(links).select(F.col("node").alias("form"), F.col("head").alias("person"))
 
 
 def spellings(df: DataFrame, short_names: DataFrame, author: str = "author", characters: str = "characters") -> DataFrame:
