@@ -211,12 +211,14 @@ def _by_initial(keyed: DataFrame) -> DataFrame:
 def candidates(units: DataFrame, shortest: int = 4, common: int = 40) -> DataFrame:
     """``(key, before, unit, initial)``: units under suffixes that are not common, or not once refined, or with a letter left out."""
 
-    def split(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        crowded = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > common).select("key")
-        return merging(keyed, crowded, "key", "left_anti"), merging(keyed, crowded, "key", "left_semi")
-
-    rare, often = split(_suffix_keys(units, shortest))
-    refined, rest = split(checkpoint(_by_initial(checkpoint(often))))
+    def shared(keyed: DataFrame) -> DataFrame:
+        """Keys of more than one unit, with their number."""
+        return merging(keyed, keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "key")
+
+    suffixes = checkpoint(shared(_suffix_keys(units, shortest)))
+    rare = suffixes.where(F.col("_n") <= common).drop("_n")
+    refined = checkpoint(shared(_by_initial(suffixes.where(F.col("_n") > common).drop("_n"))))
+    refined, rest = refined.where(F.col("_n") <= common).drop("_n"), refined.where(F.col("_n") > common)
     # a slip, or two letters swapped, can leave a surname less than ``shortest`` on both sides
     lacking = checkpoint(merging(units, rest.select("unit").distinct(), "unit", "left_semi").unionByName(units.where(F.length("surname") <= 2 * shortest)).distinct())
     without = lacking.select(F.explode(letters_left_out(F.col("surname"))).alias("_w"), *UNIT).select(F.xxhash64("field", F.lit("-"), "_w").alias("key"), F.lit(None).cast("string").alias("before"), "unit", "initial")
