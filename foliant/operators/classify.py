@@ -91,8 +91,8 @@ def train_mlp(x: np.ndarray, y: np.ndarray, hidden: int = 128, rate: float = 0.0
 
 
 def mlp(train: DataFrame, test: DataFrame, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", sample: int = 20_000, **settings: float) -> DataFrame:
-    """``(id, predicted)``: trained on up to ``sample`` rows of the lowest hashes, applied to all rows of ``test`` in Arrow batches."""
-    rows = train.select(F.col(label).alias("y"), F.col(vector).alias("x"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample).toPandas()
+    """``(id, predicted)``: trained on up to ``sample`` rows of the lowest hashes of their content, applied to all rows of ``test`` in Arrow batches."""
+    rows = train.select(F.col(label).alias("y"), F.col(vector).alias("x"), F.xxhash64(id_col, label, vector).alias("h")).orderBy("h").limit(sample).toPandas()
     weights = train_mlp(np.stack(rows["x"].to_numpy()).astype(float), rows["y"].to_numpy(int), **settings)
 
     def apply(batches):

@@ -151,9 +151,9 @@ def index_add_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_corpus(records: DataFrame) -> DataFrame:
-    """``(doc_id, field, text)`` of records with lists in their fields, one row for each id and field; repeated ids keep the greatest text."""
-    texts = (F.max(F.coalesce(F.array_join(c, " "), F.lit(""))).alias(f) for f, c in zip(B.FIELDS, ("descriptions", "genres", "characters")))
-    rows = records.where("id is not null").groupBy("id").agg(*texts)
+    """``(doc_id, field, text)`` of records with lists in their fields, one row for each id and field; of repeated ids the row with the greatest texts stands, in the order of the fields."""
+    texts = (F.coalesce(F.array_join(c, " "), F.lit("")).alias(f) for f, c in zip(B.FIELDS, ("descriptions", "genres", "characters")))
+    rows = records.where("id is not null").groupBy("id").agg(F.max(F.struct(*texts)).alias("r")).select("id", "r.*")
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in B.FIELDS))
     return rows.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.field", "f.text")
 
