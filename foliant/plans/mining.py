@@ -274,10 +274,11 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct skip-gram pair with five words that are not its context, of the 100 most frequent words."""
+    """How often each of the 100 most frequent words is drawn against a skip-gram pair, five times for each distinct pair and never its context, and against how many contexts."""
     sentences = embed.corpus(B.books(spark, sf_dir), B.stop_words(spark, sf_dir))
     vocabulary = [r["word"] for r in embed.vocabulary(sentences, most=100).select("word").collect()]
-    return embed.negatives(embed.skip_grams(sentences).distinct(), vocabulary)
+    drawn = embed.negatives(embed.skip_grams(sentences).distinct(), vocabulary)
+    return drawn.groupBy("negative").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"))
 
 
 def sgns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,7 +518,7 @@ SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC
 pairs AS (SELECT DISTINCT a.word AS center, b.word AS context FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 3),
 top AS (SELECT list(word ORDER BY n DESC, word) AS l FROM (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM sent) GROUP BY word ORDER BY n DESC, word LIMIT 100)),
 drawn AS (SELECT center, context, l, ('0x' || substr(md5('42:' || i || ':' || center || ' ' || context), 1, 7))::BIGINT % len(l) AS p FROM pairs, top, range(1, 6) r(i))
-SELECT center, context, CASE WHEN l[p + 1] = context THEN l[(p + 1) % len(l) + 1] ELSE l[p + 1] END AS negative FROM drawn""",
+SELECT negative, count(*)::BIGINT AS n, count(DISTINCT context)::BIGINT AS contexts FROM (SELECT context, CASE WHEN l[p + 1] = context THEN l[(p + 1) % len(l) + 1] ELSE l[p + 1] END AS negative FROM drawn) GROUP BY 1""",
     "cluster_top_terms": f"WITH {TFIDF}, sz AS (SELECT label, count(*) AS n FROM docs GROUP BY 1), m AS (SELECT d.label AS cluster, term, round(sum(w) / max(sz.n), 6) AS weight FROM vec JOIN docs d USING (doc_id) JOIN sz ON sz.label = d.label GROUP BY ALL) SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::BIGINT AS rank, term, weight FROM m QUALIFY rank <= 10",
     "cluster_profile": f"""WITH {S.BOOKS}, {MAIN}, k AS (SELECT doc_id, coalesce(label, 'none') AS cluster FROM main), v AS (SELECT bookid AS doc_id, unnest({_ITEMS.format(c='genres')}) AS value FROM books), n AS (SELECT cluster, value, count(*) AS n FROM k JOIN v USING (doc_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value) AS r FROM n) SELECT s.cluster, s.size, coalesce(t.top, '') AS top FROM (SELECT cluster, count(*)::BIGINT AS size FROM k GROUP BY 1) s LEFT JOIN (SELECT cluster, string_agg(value || ' (' || n || ')', ', ' ORDER BY r) AS top FROM r WHERE r <= 5 GROUP BY 1) t USING (cluster)""",
