@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.functions import text as T
 
 
-def marked_words(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, pos, raw, hit)`` of ``(query_id, doc_id, text)``; words match by their lower case without punctuation at the ends."""
-    words = docs.select("query_id", "doc_id", F.posexplode(T.split_words(F.col("text"))).alias("pos", "raw")).withColumn("term", T.strip_edges(F.lower("raw")))
-    asked = query_terms.select("query_id", "term").distinct().withColumn("_h", F.lit(1))
-    return words.join(asked, ["query_id", "term"], "left").select("query_id", "doc_id", "pos", "raw", F.coalesce("_h", F.lit(0)).alias("hit"))
+def best_windows(hits: list[int], width: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of all windows of ``width`` words with the most hits, overlapping or touching ones merged; none without hits."""
+    n = len(hits)
+    sums = [0, *accumulate(hits)]
+    counts = [sums[i + width] - sums[i] for i in range(n - width + 1)] if n >= width else [sums[-1]]
+    best, out = max(counts, default=0), []
+    if best == 0:
+        return out
+    for i, c in enumerate(counts):
+        if c == best:
+            end = min(i + width, n)
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((i, end))
+    return out
 
 
 def snippets(docs: DataFrame, query_terms: DataFrame, n_side: int = 5) -> DataFrame:
-    """``(query_id, doc_id, snippet)``: all windows of ``n_side + 1`` words with the most hits, overlapping or touching ones merged.
+    """``(query_id, doc_id, snippet)`` of ``(query_id, doc_id, text)``: all windows of ``n_side + 1`` words with the most hits, overlapping or touching ones merged.
 
-    A shorter document is one window; a document without hits has an empty snippet.
+    Words match by their lower case without punctuation at the ends. A shorter document
+    is one window; a document without hits has an empty snippet. A text's words stay in its row.
     """
     width = n_side + 1
-    words = marked_words(docs, query_terms)
-    doc = ["query_id", "doc_id"]
-    order = Window.partitionBy(*doc).orderBy("pos")
-    ahead = order.rowsBetween(0, width - 1)
-    every = Window.partitionBy(*doc)
-    scored = words.withColumns({"c": F.sum("hit").over(ahead), "w": F.count("*").over(ahead), "n": F.count("*").over(every)})
-    ok = (F.col("w") == width) | ((F.col("n") < width) & (F.col("pos") == 0))
-    scored = scored.withColumn("c", F.when(ok, F.col("c")).otherwise(0)).withColumn("best", F.max("c").over(every))
-    starts = F.when((F.col("c") == F.col("best")) & (F.col("c") > 0), F.col("pos"))
-    # a word is shown if a best window begins at it or within the width before it
-    near = F.max(starts).over(order.rowsBetween(-(width - 1), 0))
-    shown = scored.withColumn("near", near).where(F.col("near").isNotNull()).withColumn("island", F.col("pos") - F.row_number().over(order))
-    text = F.when(F.col("hit") == 1, F.concat(F.lit("***"), F.col("raw"), F.lit("***"))).otherwise(F.col("raw"))
-    islands = shown.groupBy(*doc, "island").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("l"))
-    parts = islands.select(*doc, F.col("l")[0]["pos"].alias("at"), F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("part"))
-    joined = parts.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
-    out = docs.select(*doc).join(joined, doc, "left")
-    return out.select(*doc, F.coalesce(F.array_join(F.transform("p", lambda x: x["part"]), " ... "), F.lit("")).alias("snippet"))
+    kind = StringType()
+
+    @F.pandas_udf(kind)
+    def shown(words: pd.Series, hits: pd.Series) -> pd.Series:
+        def one(w, h):
+            return " ... ".join(" ".join(f"***{w[i]}***" if h[i] else w[i] for i in range(a, b)) for a, b in best_windows(h.tolist(), width))
+
+        return pd.Series([one(w, h) for w, h in zip(words, hits)], dtype=object)
+
+    asked = query_terms.groupBy("query_id").agg(F.collect_set("term").alias("_q"))
+    words = docs.join(asked, "query_id", "left").select("query_id", "doc_id", "_q", T.split_words(F.col("text")).alias("_w"))
+    hit = F.transform("_w", lambda w: F.coalesce(F.array_contains("_q", T.strip_edges(F.lower(w))), F.lit(False)).cast("int"))
+    return words.select("query_id", "doc_id", shown("_w", hit).alias("snippet"))
 
 
 def missing_terms(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
