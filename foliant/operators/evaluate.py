@@ -15,11 +15,28 @@ def per_query(queries: DataFrame, runs: DataFrame, judged: DataFrame) -> DataFra
     """``(query_id, precision, recall, ap, dcg, ndcg, rr)``."""
     relevant = judged.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1))
     marked = runs.join(relevant, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"))
+    sizes = judged.groupBy("query_id").agg(F.count("*").alias("na"), F.countDistinct("doc_id").alias("nd"))
+    return _measures(queries, marked, sizes)
+
+
+def per_query_alike(queries: DataFrame, runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``per_query`` where the documents ``(doc_id, text)``, one row each, with the text of a query ``(query_id, text)`` are those judged relevant.
+
+    No row is made for a query and a document of its text, of which there are as many as the square of a text's repetitions.
+    """
+    own = queries.select("query_id", F.col("text").alias("_q"))
+    met = runs.join(own, "query_id").join(docs.select("doc_id", F.col("text").alias("_d")), "doc_id", "left")
+    marked = met.select("query_id", "rank", F.coalesce(F.col("_q") == F.col("_d"), F.lit(False)).cast("int").alias("hit"))
+    n = docs.groupBy("text").agg(F.count("*").alias("na"))
+    return _measures(queries, marked, queries.join(n, "text").select("query_id", "na", F.col("na").alias("nd")))
+
+
+def _measures(queries: DataFrame, marked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The measures of ``(query_id, rank, hit)`` and ``(query_id, na, nd)``, the numbers of judgements and of judged documents."""
     lists = marked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit"))).alias("l"), F.count("*").alias("np"), F.sum("hit").alias("h"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1)).alias("dcg"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
     # hits so far at each hit, over its rank
     state = F.aggregate("l", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s")), lambda a, x: F.struct((a["n"] + x["hit"]).alias("n"), (a["s"] + F.when(x["hit"] == 1, (a["n"] + 1) / x["rank"]).otherwise(0.0)).alias("s")))
     runs_by = lists.select("query_id", "np", "h", "dcg", "first", state["s"].alias("aps"))
-    sizes = judged.groupBy("query_id").agg(F.count("*").alias("na"), F.countDistinct("doc_id").alias("nd"))
     q = queries.select("query_id").distinct().join(runs_by, "query_id", "left").join(sizes, "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(zero("na"), zero("np")), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))

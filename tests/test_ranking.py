@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -122,6 +123,18 @@ def test_store_and_load(spark, built, tmp_path):
         index.store(built.postings, str(tmp_path / "j"), "authors")
 
 
+def test_measures_by_equal_texts(spark):
+    """The same as by judgements, and no pair is made of a query and a document that it doesn't find."""
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(f"d{i:02}", rnd.choice(["a", "a", "b", "c", None])) for i in range(40)], "doc_id string, text string")
+    queries = docs.where("text <> 'c' and doc_id < 'd25'").withColumnRenamed("doc_id", "query_id").union(spark.createDataFrame([("x", "nowhere")], "a string, b string"))
+    runs = spark.createDataFrame([(f"d{q:02}", r, f"d{d:02}") for q in range(0, 24, 2) for r, d in enumerate(rnd.sample(range(40), 10), 1)], "query_id string, rank bigint, doc_id string").join(queries.select("query_id"), "query_id", "left_semi")
+    judged = queries.join(docs, "text").select("query_id", "doc_id")
+    by = evaluate.per_query_alike(queries, runs, docs)
+    assert sorted(map(tuple, by.collect())) == sorted(map(tuple, evaluate.per_query(queries, runs, judged).collect()))
+    assert by.where("precision > 0").count() > 2
+
+
 def test_measures_by_hand(spark):
     q = spark.createDataFrame([(1,), (2,), (3,)], "query_id bigint")
     runs = spark.createDataFrame([(1, 1, "a"), (1, 2, "x"), (1, 3, "b"), (3, 1, "z")], "query_id bigint, rank bigint, doc_id string")

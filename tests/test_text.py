@@ -109,3 +109,19 @@ def test_words_without_stop_words_in_one_filter(spark):
     both = df.select(T.analyse_without(F.col("t"), ["this", "b"]).alias("a"), T.without(T.analyse(F.col("t")), ["this", "b"]).alias("b"))
     assert all(r.a == r.b for r in both.collect()) and both.where("size(a) > 0").count() == 4
     assert "translate(" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_last_rows_stay_in_place_where_an_id_stands_once(spark, tmp_path):
+    """Only rows of repeated ids are moved, and what is kept is what a shuffle of all keeps; a table in one part is moved whole."""
+    rows = [(None if i % 40 == 5 else f"b{i % 400:03}", f"t{i}", i % 7, str(i % 3)) for i in range(440)]
+    df = spark.createDataFrame(rows, "bookid string, title string, loaded_at int, avg_rating string")
+    df.repartition(8).write.parquet(f"{tmp_path}/many")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    try:
+        for part in (many, many.coalesce(1)):
+            assert sorted(B.last_in_place(part).collect()) == sorted(B.last_wins(part).collect())
+        plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan(B.last_in_place(many)) and "Union" not in plan(B.last_in_place(many.coalesce(1)))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
